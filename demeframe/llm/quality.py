@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A word is common with so large a share of its language's words, a language is used with such a share of all documents.
-WORD_SHARE, LANG_SHARE = 0.001, 0.001
+WORD_SHARE, LANG_SHARE = 0.005, 0.001
 #: Characters and words below which the histograms don't judge.
 MIN_CHARS, MIN_WORDS = 300, 100
 #: Distances beyond which a document is dropped.
