@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_byte_bpe
 from .decontaminate import op1_decontaminate
+from .licenses import op4_licenses
 from .quality import op2_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op4_licenses": op4_licenses,
+    "op5_byte_bpe": op5_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
