@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_byte_bpe
 from .decontaminate import op1_decontaminate
 from .licenses import op4_licenses
+from .ppm import op8_language
 from .quality import op2_quality
+from .records import op7_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op4_licenses": op4_licenses,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_records": op7_records,
+    "op8_language": op8_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
