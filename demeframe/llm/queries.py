@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_byte_bpe
 from .decontaminate import op1_decontaminate
 from .licenses import op4_licenses
+from .pii import op10_pii
 from .ppm import op8_language
 from .quality import op2_quality
 from .records import op7_records
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_records": op7_records,
     "op8_language": op8_language,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
