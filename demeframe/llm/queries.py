@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
+from .chat import OP6_SQL, op6_chat
 from .decontaminate import op1_decontaminate
 from .licenses import op4_licenses
 from .pii import op10_pii
@@ -19,9 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_licenses": op4_licenses,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_chat": op6_chat,
     "op7_records": op7_records,
     "op8_language": op8_language,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
