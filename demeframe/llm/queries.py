@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_byte_bpe
 from .chat import OP6_SQL, op6_chat
 from .decontaminate import op1_decontaminate
+from .jaccard import op9_jaccard
 from .licenses import op4_licenses
 from .pii import op10_pii
 from .ppm import op8_language
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_records": op7_records,
     "op8_language": op8_language,
+    "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
 }
 
