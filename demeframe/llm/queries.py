@@ -11,6 +11,7 @@ from .chat import OP6_SQL, op6_chat
 from .decontaminate import op1_decontaminate
 from .jaccard import op9_jaccard
 from .licenses import op4_licenses
+from .lm import op3_kneser_ney
 from .pii import op10_pii
 from .ppm import op8_language
 from .quality import op2_quality
@@ -19,6 +20,7 @@ from .records import op7_records
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_licenses": op4_licenses,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat": op6_chat,
