@@ -23,6 +23,7 @@ import itertools
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -37,17 +38,18 @@ from .crc32c import crc32c, masked
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
-REMEMBERED = 300_000
+#: Units that a worker remembers, about 250 bytes each; marks that are split off a word.
+REMEMBERED, MARKS = 1_400_000, ".,;:!?"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 FILES = "part int, records string, index string, n_records long, n_tokens long, width int"
 
 
 class UnitTokenizer:
-    """Ids as packed bytes; remembers those of units between single spaces.
+    """Ids as packed bytes; remembers those of units between single spaces or line breaks.
 
-    A pre-token starts at each space between two characters that are no white
-    space, so a text of such units is the units' ids in a row.  A text where
-    white space stands beside a space is encoded whole.
+    A pre-token starts at each space or line break between two characters that
+    are no white space, so a text of such units is the units' ids in a row.  A text
+    where white space stands beside them is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,30 +60,67 @@ class UnitTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.known: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        data = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(sizes.sum())).tobytes()
+        ends = (np.cumsum(sizes) * self.kind.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, units: set[str]) -> None:
+        """Remembers units; a mark behind a letter or digit starts a pre-token, so words are encoded without their marks."""
+        cores, known = {}, self.known
+        for u in units:
+            if not u or u[0].isspace() and (u[0] != "\n" or u[1:2].isspace()) or u[-1].isspace():
+                known[u] = None
+                continue
+            core = u.rstrip(MARKS)
+            if core != u and core and core[-1].isalnum():
+                cores[u] = core
+            elif u not in known:
+                cores[u] = u
+        new = list(set(cores.values()) - known.keys())
+        known.update(zip(new, self._packed([c if c[0] == "\n" else " " + c for c in new]), strict=True))
+        tails = list({u[len(c) :] for u, c in cores.items()} - self.tails.keys())
+        self.tails.update(zip(tails, self._packed(tails), strict=True))
+        for u, c in cores.items():
+            if u is not c:
+                known[u] = known[c] + self.tails[u[len(c) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [t.split(" ") for t in texts]
-        new = list(set(itertools.chain.from_iterable(x[1:] for x in split)) - self.known.keys())
-        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._packed([" " + u for u in plain]), strict=True))
+        if len(self.tails) > REMEMBERED:
+            self.tails.clear()
+        # a line break becomes a unit's first character, and such a unit has no space in front
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = self._packed([x.pop(0) for x in split])
+        new: set[str] = set()
+        for x in split:
+            new.update(x)
+        self._learn(new.difference(self.known))
+        known = self.known.__getitem__
         out: list[bytes | None] = []
-        heads = self._packed([x[0] for x in split])
-        for head, x in zip(heads, split, strict=True):
-            got = list(map(self.known.__getitem__, x[1:]))
-            whole = None in got or (x[0] != "" and x[0][-1].isspace() and len(x) > 1)
-            out.append(None if whole else head + b"".join(got))
+        for text, head, x in zip(texts, heads, split, strict=True):
+            got = [head, *map(known, x)]
+            if None in got or x and text[0].isspace() and text[0] != "\n":
+                out.append(None)
+            else:
+                out.append(b"".join(got))
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._packed([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
 
+@lru_cache(2)
+def unit_tokenizer(path: str) -> UnitTokenizer:
+    """One for each worker process, so that what it remembers serves later tasks."""
+    return UnitTokenizer(path)
+
+
 def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The records in a row, and where each starts."""
     sizes = np.array([len(p) for p in payloads], "<u8")
@@ -124,7 +163,7 @@ def _writer(folder: str, path: str | None) -> Callable[[Iterator[pa.RecordBatch]
         for table in common.by_bytes(batches, 4 << 20):
             if not table.num_rows:
                 continue
-            units = units or UnitTokenizer(path or public_tokenizers.path(TOKENIZER))
+            units = units or unit_tokenizer(path or public_tokenizers.path(TOKENIZER))
             if files is None:
                 files = (store.open_output_stream(f"{at}/{name}.rec"), store.open_output_stream(f"{at}/{name}.idx"))
             width = units.kind.itemsize

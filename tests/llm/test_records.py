@@ -34,7 +34,7 @@ def units():
 
 def test_units_equal_whole_texts(units):
     rng = random.Random(2)
-    alphabet = ["a", "Be", " ", " ", " ", "  ", "\n", "'ll", "1", "é", "日", "!", "\t", " ", "<|endoftext|>", "　", "x y", "\x1c"]
+    alphabet = ["a", "Be", " ", " ", ".", "?!", " ", "  ", "\n", "'ll", "1", "é", "日", "!", "\t", " ", "<|endoftext|>", "　", "x y", "\x1c"]
     texts = ["".join(rng.choice(alphabet[: 2 + k % len(alphabet)]) for _ in range(rng.randrange(40))) for k in range(2000)] + ["", " ", "  ", "\n", "a ", " a"]
     want = [e.ids for e in units.tokenizer.encode_batch(texts, add_special_tokens=False)]
     got = [np.frombuffer(x, units.kind).tolist() for x in units.encode(texts)]
