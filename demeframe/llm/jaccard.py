@@ -52,9 +52,11 @@ PERCENT = 85
 #: Percent of a set whose hashes are sent to shards.
 PREFIX = 25
 #: Shingles in one shard; classes of one batch that make a shingle hot; rank of hot shingles.
-SHARD, HOT, HOT_RANK = 2_000_000, 64, 2**31
+SHARD, HOT, HOT_RANK = 700_000, 64, 2**31
 #: Sets, and shingles in them, that one task searches.
 GROUP, GROUP_SHINGLES = 3_000, 3_000_000
+#: Owner of a token without a class.
+NONE = 65535
 #: DivideSkip's weight of a merged list against a probed one.
 MU = 0.0085
 
@@ -108,12 +110,12 @@ def _classes() -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _prefixes(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(shards: int, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (shard, hot, classes, sizes, tokens, owner): arrays of a batch's prefix shingles that belong to a shard.
 
     ``owner`` says which of ``classes`` a token belongs to; hot rows say that
-    their tokens are hot.  A token of the shard rows without a class (owner
-    65535) is a marker of a hot one.
+    ``many`` classes of the batch or more share their tokens.  A token of the shard rows without a class (owner
+    NONE) is a marker of a hot one.
     """
 
     def rows(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
@@ -122,16 +124,20 @@ def _prefixes(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         tokens = np.concatenate(firsts)
         owner = np.repeat(np.arange(len(firsts), dtype=np.uint16), [len(x) for x in firsts])
         kinds, where, count = np.unique(tokens, return_inverse=True, return_counts=True)
-        hot = (count >= HOT)[where]
-        marks = kinds[count >= HOT]
-        for is_hot, t, o in ((True, tokens[hot], owner[hot]), (False, np.concatenate((tokens[~hot], marks)), np.concatenate((owner[~hot], np.full(len(marks), 65535, np.uint16))))):
+        hot = (count >= many)[where]
+        marks = kinds[count >= many]
+        for is_hot, t, o in ((True, tokens[hot], owner[hot]), (False, np.concatenate((tokens[~hot], marks)), np.concatenate((owner[~hot], np.full(len(marks), NONE, np.uint16))))):
             # hot rows go where their class says, as nothing else has to meet them
             key = (_mix(classes.astype(np.uint64))[o] if is_hot else _mix(t)) % np.uint64(shards) if len(t) else t
             order = np.argsort(key, kind="stable")
             cut = np.searchsorted(key[order], np.arange(shards + 1, dtype=np.uint64))
             for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 mine = order[cut[k] : cut[k + 1]]
-                yield k, is_hot, classes.tobytes(), sizes.tobytes(), t[mine].tobytes(), o[mine].tobytes()
+                used, place = np.unique(o[mine], return_inverse=True)
+                if used[-1] == NONE:  # keeps its number, and no class
+                    place[place == len(used) - 1] = NONE
+                    used = used[:-1]
+                yield k, is_hot, classes[used].tobytes(), sizes[used].astype(np.uint32).tobytes(), t[mine].tobytes(), place.astype(np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -152,63 +158,74 @@ def _prefixes(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _by_class(classes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
-    """One row a class, with its tokens and their ranks of rarity."""
-    order = np.argsort(classes, kind="stable")
-    classes, sizes, tokens, ranks = classes[order], sizes[order], tokens[order], ranks[order]
-    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.empty(0, np.int64)
-    offsets = np.append(first, len(classes))
+def _by_bucket(buckets: int, classes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket of classes, with their tokens and the tokens' ranks of rarity."""
+    key = _mix(classes.astype(np.uint64)) % np.uint64(buckets)
+    order = np.argsort(key, kind="stable")
+    cut = np.searchsorted(key[order], np.arange(buckets + 1, dtype=np.uint64))
+    rows = []
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        mine = order[cut[k] : cut[k + 1]]
+        rows.append((k, classes[mine].tobytes(), sizes[mine].astype(np.uint32).tobytes(), tokens[mine].tobytes(), ranks[mine].astype(np.uint32).tobytes()))
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["bucket", "classes", "sizes", "tokens", "ranks"])
 
-    def packed(x: np.ndarray) -> pa.Array:
-        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
-    return pa.record_batch({"cls": pa.array(classes[first]), "n": pa.array(sizes[first]), "tokens": packed(tokens), "ranks": packed(ranks.astype(np.uint32))})
+def _shared(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What classes share with others, by the shards of one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        marks: list[np.ndarray] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                classes, sizes = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sizes"], np.uint32)
+                tokens, owner = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["owner"], np.uint16)
+                if r["hot"]:
+                    yield _by_bucket(buckets, classes[owner], sizes[owner], tokens, np.full(len(tokens), HOT_RANK))
+                    continue
+                own = owner != NONE
+                marks.append(tokens[~own])
+                parts.append((tokens[own], classes[owner[own]], sizes[owner[own]]))
+        if not parts:
+            return
+        tokens, classes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((classes, tokens))
+        tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+        tokens, classes, sizes = tokens[new], classes[new], sizes[new]
+        # tokens are in order, so each one's classes stand together
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(tokens)))
+        rank = np.where(np.isin(tokens[first], np.concatenate(marks)), HOT_RANK, np.minimum(count, HOT_RANK - 1)).astype(np.uint32)
+        keep = np.repeat(rank > 1, count)
+        yield _by_bucket(buckets, classes[keep], sizes[keep], tokens[keep], np.repeat(rank, count)[keep])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each class shares with another, by the shards of one task."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    marks: list[np.ndarray] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            classes, sizes = np.frombuffer(r["classes"], np.int64), np.frombuffer(r["sizes"], np.int64)
-            tokens, owner = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["owner"], np.uint16)
-            if r["hot"]:
-                yield _by_class(classes[owner], sizes[owner], tokens, np.full(len(tokens), HOT_RANK))
-                continue
-            own = owner != 65535
-            marks.append(tokens[~own])
-            parts.append((tokens[own], classes[owner[own]], sizes[owner[own]].astype(np.int32)))
+    return run
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, cls) of whole classes: of each one's shared tokens the rarest that a link can't avoid."""
+    kinds = {"classes": np.int64, "sizes": np.uint32, "tokens": np.uint64, "ranks": np.uint32}
+    parts = [tuple(np.frombuffer(r[k], t) for k, t in kinds.items()) for b in batches for r in b.to_pylist()]
     if not parts:
         return
-    tokens, classes, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    classes, sizes, tokens, ranks = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
-    order = np.lexsort((classes, tokens))
-    tokens, classes, sizes = tokens[order], classes[order], sizes[order]
+    order = np.lexsort((tokens, ranks, classes))
+    classes, sizes, tokens = classes[order], sizes[order].astype(np.int64), tokens[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-    tokens, classes, sizes = tokens[new], classes[new], sizes[new]
-    kinds, where, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    rank = np.where(np.isin(kinds, np.concatenate(marks)), HOT_RANK, np.minimum(count, HOT_RANK - 1))
-    keep = (rank > 1)[where]
-    yield _by_class(classes[keep], sizes[keep].astype(np.int64), tokens[keep], rank[where][keep])
-
-
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, cls): of a class's shared tokens the rarest that a link can't avoid."""
-    for batch in batches:
-        out_t, out_c = [], []
-        for c, need, parts in zip(batch.column("cls").to_pylist(), batch.column("need").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), np.uint64)
-            ranks = np.frombuffer(b"".join(p["ranks"] for p in parts), np.uint32)
-            tokens, at = np.unique(tokens, return_index=True)
-            if len(tokens) < need:
-                continue
-            order = np.lexsort((tokens, ranks[at]))[: len(tokens) - need + 1]
-            out_t.append(tokens[order])
-            out_c.append(np.full(len(order), c, np.int64))
-        if out_t:
-            yield pa.record_batch({"token": pa.array(np.concatenate(out_t).view(np.int64)), "cls": pa.array(np.concatenate(out_c))})
+    classes, sizes, tokens = classes[new], sizes[new], tokens[new]
+    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+    have = np.diff(np.append(first, len(classes)))
+    # what min(l) comes to for a set and its smallest partner
+    need = np.maximum(1, sizes[first] * ((PREFIX - (100 - PERCENT)) * PERCENT) // 10_000)
+    place = np.arange(len(classes)) - np.repeat(first, have)
+    keep = place < np.repeat(have - need + 1, have)
+    yield pa.record_batch({"token": pa.array(tokens[keep].view(np.int64)), "cls": pa.array(classes[keep])})
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -344,12 +361,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = common.doc_bytes(docs).where("doc_id is not null and text is not null")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     shards = int(max(1, -(-shingles * PREFIX // 100 // SHARD)))
-    sent = texts.mapInArrow(_prefixes(shards), "shard int, hot boolean, classes binary, sizes binary, tokens binary, owner binary")
-    told = sent.repartition(max(shards, spark.sparkContext.defaultParallelism), "shard").mapInArrow(_shared, "cls long, n long, tokens binary, ranks binary")
-    # what min(l) comes to for a set and its smallest partner
-    need = F.greatest(F.lit(1).cast("long"), F.floor(F.first("n") * ((PREFIX - (100 - PERCENT)) * PERCENT) / 10_000))
-    per = told.groupBy("cls").agg(need.alias("need"), F.collect_list(F.struct("tokens", "ranks")).alias("parts"), F.sum(F.length("tokens") / 8).alias("have")).where("have >= need")
-    ties = common.written(per.select("cls", "need", "parts").mapInArrow(_ties, "token long, cls long"), "jaccard-ties")
+    sent = texts.mapInArrow(_prefixes(shards, HOT), "shard int, hot boolean, classes binary, sizes binary, tokens binary, owner binary")
+    tasks = max(shards, spark.sparkContext.defaultParallelism)
+    told = sent.repartition(tasks, "shard").mapInArrow(_shared(shards), "bucket int, classes binary, sizes binary, tokens binary, ranks binary")
+    ties = common.written(told.repartition(tasks, "bucket").mapInArrow(_ties, "token long, cls long"), "jaccard-ties")
     least = ties.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").drop("most")
     near = components(ties.join(least, "token").where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v")))
     # one document of each class to be searched, and its tasks
