@@ -159,25 +159,28 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Digests of the ids and of what they decode to, both made in the task that encodes."""
+def round_trip(docs: DataFrame, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Digests of the ids and of what they decode to, both made in the task that encodes; with ``with_ids`` the ids too."""
     common.arrow_limits(docs.sparkSession)
 
     def make() -> Callable[[pa.Table], pa.Table]:
         bpe = tokenizer(ranks_path or public_tokenizers.path(RANKS))
 
         def run(table: pa.Table) -> pa.Table:
-            n, ids_sha, decoded_sha = [], [], []
+            n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in table.column("text").to_pylist():
                 ids = bpe.encode(_text(text))
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
                 ids_sha.append(bpe.digest(ids))
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
+            out = pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
+            return out.append_column("ids", _ids_array(kept)) if with_ids else out
 
         return run
 
-    return common.map_tables(common.doc_bytes(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 4 << 20)
+    return common.map_tables(common.doc_bytes(docs), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, 4 << 20)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,8 +41,8 @@ def doc_bytes(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches, as one text may have megabytes; an own setting of the session stays."""
+def arrow_limits(spark: SparkSession, rows: int = 256) -> None:
+    """Smaller Arrow batches, as a text or a packed array may have megabytes; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
@@ -105,13 +105,21 @@ def by_bytes(batches: Iterable[pa.RecordBatch], most: int, column: str = "text")
         yield pa.Table.from_batches(held)
 
 
-def map_tables(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: str, most: int) -> DataFrame:
-    """``mapInArrow`` over tables of about ``most`` bytes; ``make`` runs once in each task."""
+def map_tables(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: str, most: int, carry: Sequence[str] = ()) -> DataFrame:
+    """``mapInArrow`` over tables of about ``most`` bytes; ``make`` runs once in each task.
+
+    Columns named in ``carry`` come out as they went in, which needs a row out for each row in.
+    """
+    carry = tuple(carry)
+    schema = ", ".join([schema, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for table in by_bytes(batches, most):
-            yield from each(table).to_batches()
+            out = each(table)
+            for c in carry:
+                out = out.append_column(c, table.column(c))
+            yield from out.to_batches()
 
     return df.mapInArrow(run, schema)
 

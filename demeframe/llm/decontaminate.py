@@ -17,7 +17,7 @@ A null ``item_id`` is left out, as an item without a name can't be reported.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -155,20 +155,21 @@ def _pass(windows, last: bool) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, table_bytes: int = 4 << 20) -> DataFrame:
+def removal_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, table_bytes: int = 4 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, merged word spans to remove, and the ids of items that occur.
 
-    Spans are half-open and count words from 0.
+    Spans are half-open and count words from 0.  ``carry`` names columns to keep.
     """
     spark = docs.sparkSession
     common.arrow_limits(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     blocks = list(common.in_blocks(((r[0], bytes(r[1])) for r in items.toLocalIterator()), block_bytes, lambda x: len(x[1]) + 16)) if spark else []
-    out = common.doc_bytes(docs)
+    rest = [c for c in carry if c != "text"]
+    out = common.doc_bytes(docs, *rest)
     sent = [spark.sparkContext.broadcast(Windows(b, width)) for b in blocks] or [spark.sparkContext.broadcast(Windows([], width))]
     for k, windows in enumerate(sent):
         last = k == len(sent) - 1
-        out = common.map_tables(out, lambda w=windows, z=last: _pass(w.value, z), SCHEMA if last else CARRIED, table_bytes)
+        out = common.map_tables(out, lambda w=windows, z=last: _pass(w.value, z), SCHEMA if last else CARRIED, table_bytes, carry if last else rest)
     return out
 
 

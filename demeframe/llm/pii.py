@@ -22,7 +22,7 @@ result each.  With no entity in the corpus there are no disclosing words.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+TERM, REMOVED = "term", "removed"
 NEAR, SIDE = 8, 3
 #: Distinct contexts with one entity from which a word is judged; the share of the entity's information that discloses it; from where on a word is removed.
 SUPPORT, ALPHA, REMOVE = 5, 0.97, 0.9
@@ -202,30 +202,31 @@ def _spans(sent, first: bool) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def find_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def find_spans(docs: DataFrame, terms: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text as bytes, and spans (kind, start, end in code points): base kinds, then ``terms`` (by default the disclosing ones)."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
     terms = disclosing(docs) if terms is None else terms
     blocks = list(common.in_blocks(((bytes(r[0]), r[1]) for r in terms.toLocalIterator()), BLOCK, lambda _: 1)) or [[]]
-    out = common.doc_bytes(docs)
+    out = common.doc_bytes(docs, *carry)
     for k, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(dict(block))
-        out = common.map_tables(out, lambda s=sent, z=k == 0: _spans(s, z), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20)
+        out = common.map_tables(out, lambda s=sent, z=k == 0: _spans(s, z), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20, carry)
     return out
 
 
-def sanitise(text: str, spans: list[tuple[str, int, int]], strength: dict[bytes, float]) -> str:
+def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with entities labelled and disclosing terms generalised or removed; overlapping spans are merged under the first."""
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
         if a < at:
             at = max(at, b)
             continue
-        if kind == TERM:
+        if kind == REMOVED:
+            label = ""
+        elif kind == TERM:
             word = text[a:b]
-            removed = strength.get(word.encode().translate(common.LOWER), 1.0) >= REMOVE
-            label = "" if removed else "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]"
+            label = "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]"
         else:
             label = LABELS[kind]
         out += [text[at:a], label]
@@ -233,6 +234,42 @@ def sanitise(text: str, spans: list[tuple[str, int, int]], strength: dict[bytes,
     return "".join(out) + text[at:]
 
 
+def sanitised(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the sanitised text, and the columns named in ``carry``.
+
+    How strong a disclosing term is comes with it in blocks, like the terms.
+    """
+    spark = docs.sparkSession
+    terms = common.written(disclosing(docs), "pii-terms")
+    out = find_spans(docs, terms, carry)
+    removed = terms.where(F.col("p") >= REMOVE).select("term")
+    blocks = list(common.in_blocks((bytes(r[0]) for r in removed.toLocalIterator()), BLOCK, lambda _: 1)) or [[]]
+    for k, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(frozenset(block))
+        out = common.map_tables(out, lambda s=sent, z=k == len(blocks) - 1: _sanitise(s.value, z), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20, carry)
+    return out.select("doc_id", F.col("text").cast("string").alias("text"), *carry)
+
+
+def _sanitise(removed: frozenset[bytes], last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Marks spans of the terms in ``removed``; the last pass makes the text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts, out = [], []
+        for raw, spans in zip(table.column("text").to_pylist(), table.column("spans").to_pylist(), strict=True):
+            if raw and spans:
+                text = raw.decode("utf-8", "replace")
+                for s in spans:
+                    if s["kind"] == TERM and text[s["start"] : s["end"]].encode().translate(common.LOWER) in removed:
+                        s["kind"] = REMOVED
+                if last:
+                    raw = sanitise(text, [(s["kind"], s["start"], s["end"]) for s in spans]).encode()
+            texts.append(raw)
+            out.append(spans)
+        return pa.table({"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.binary()), "spans": pa.array(out, pa.list_(SPAN))})
+
+    return run
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and all spans as text."""
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))

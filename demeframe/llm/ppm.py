@@ -23,7 +23,7 @@ lengths: the first language in order.  Repeated rows give one result each.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -219,12 +219,12 @@ def _predict(trees) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def predict(docs: DataFrame, trees: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_byte of every text."""
+def predict(docs: DataFrame, trees: dict[str, tuple[np.ndarray, np.ndarray]], carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and bits_per_byte of every text; ``carry`` names columns to keep."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
     sent = spark.sparkContext.broadcast(trees)
-    return common.map_tables(common.doc_bytes(docs), lambda: _predict(sent.value), SCHEMA, 1 << 20)
+    return common.map_tables(common.doc_bytes(docs, *(c for c in carry if c != "text")), lambda: _predict(sent.value), SCHEMA, 1 << 20, carry)
 
 
 def language(docs: DataFrame) -> DataFrame:

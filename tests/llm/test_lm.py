@@ -50,7 +50,7 @@ def rows(seed):
     rng = random.Random(seed)
     word = lambda: "w%d" % int(rng.paretovariate(0.8))
     made = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(120)]
-    return made + [(500, None), (501, ""), (502, " \n"), (503, "A a  B"), (None, "new words only here"), (505, "unseen-x unseen-y")]
+    return made + [(500, None), (501, ""), (502, " \n"), (503, "A a  B"), (None, "new words only here"), (505, "unseen-x unseen-y"), (506, "a b " * 400), (507, "a b " * 300)]
 
 
 @pytest.mark.parametrize("shard", [32 << 20, 500])

@@ -60,9 +60,18 @@ def test_disclosing_terms(spark):
 
 def test_sanitise():
     text = "Ann met bob@site.org in Zebra 7 town"
-    spans = [("email", 8, 20), ("term", 24, 29), ("term", 30, 31), ("term", 32, 36)]
-    assert pii.sanitise(text, spans, {b"zebra": 0.5, b"7": 0.5, b"town": 1.0}) == "Ann met [EMAIL] in [NAME] [NUMBER] "
-    assert pii.sanitise("ab", [("ip", 0, 2), ("card", 1, 2)], {}) == "[IP]"
+    spans = [("email", 8, 20), ("term", 24, 29), ("term", 30, 31), ("removed", 32, 36)]
+    assert pii.sanitise(text, spans) == "Ann met [EMAIL] in [NAME] [NUMBER] "
+    assert pii.sanitise("ab", [("ip", 0, 2), ("card", 1, 2)]) == "[IP]"
+
+
+def test_sanitised_table(spark):
+    rng = random.Random(7)
+    filler = lambda n: " ".join(rng.choices(["the", "of", "and", "river", "w%d" % rng.randrange(500)], k=n))
+    rows = [(i, f"{filler(12)} Zebra {filler(2)} bob@site.org {filler(12)}", "en") for i in range(20)] + [(30, None, None), (31, "clean text", "en"), (32, "a zebra", "en")]
+    got = {r["doc_id"]: r for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["lang"]).collect()}
+    assert "[EMAIL]" in got[0]["text"] and "ebra" not in got[0]["text"] and got[0]["lang"] == "en"
+    assert got[30]["text"] is None and got[31]["text"] == "clean text" and got[32]["text"] == "a "
 
 
 def test_empty(spark, make_docs):
