@@ -71,9 +71,9 @@ def load(spark: SparkSession, a: argparse.Namespace, p: Params) -> Prepared:
         head = header.from_text(spark, alignments.bam_header_text(a.reads))
     else:
         head = header.lines(spark.read.text(a.reads).where("value like '@%'").select("value", F.monotonically_increasing_id().cast("int").alias("line")))
-    reads = alignments.read_bam(spark, a.reads) if bam else alignments.read_sam(spark, a.reads)
     lengths = {r["chrom"]: r["length"] for r in header.contigs(head).collect()}
     region = parse_region(a.region, lengths)
+    reads = alignments.read_bam(spark, a.reads, region) if bam else alignments.read_sam(spark, a.reads)
     samples = S.sample_table(header.read_groups(head)).persist()
     names = [r["sample"] for r in samples.select("sample_id", "sample").distinct().orderBy("sample_id").collect()]
     near = alignments.overlapping(reads, region.chrom, region.beg, region.end)

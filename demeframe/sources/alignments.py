@@ -1,8 +1,7 @@
 """Alignments as DataFrames: SAM text, and BAM through a Python data source.
 
 Both give chrom, pos (0-based), mapq, flag, cigar, seq, qual, read_group, qname,
-ref_end, ord and tags' ``library`` is a join away.  A region filter is pushed
-into the BAM reader, which skips records outside it before they become rows.
+ref_end, ord; a read's library is a join away (:func:`.header.libraries`).
 """
 
 from __future__ import annotations
@@ -13,9 +12,10 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.pileup import parse_cigar, query_length, reference_end
+from ..operators.windows import Region
 
 SCHEMA = "qname string, flag int, chrom string, pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, read_group string, ref_end int, ord bigint"
 #: Fixed values of the formats: CIGAR operations and base codes.
@@ -152,26 +152,14 @@ def _store(path: str):
 
 
 class BamReader(DataSourceReader):
-    """A partition for each file; comparisons of chrom, pos and ref_end with literals are applied while reading."""
-
-    def __init__(self, paths: Sequence[str]) -> None:
-        self.paths = paths
-        self.chrom: str | None = None
-        self.beg, self.end = 0, 1 << 31
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chrom",):
-                self.chrom = f.value
-            elif isinstance(f, LessThan) and f.attribute == ("pos",):
-                self.end = min(self.end, f.value)
-            elif isinstance(f, LessThanOrEqual) and f.attribute == ("pos",):
-                self.end = min(self.end, f.value + 1)
-            elif isinstance(f, GreaterThan) and f.attribute == ("ref_end",):
-                self.beg = max(self.beg, f.value)
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("ref_end",):
-                self.beg = max(self.beg, f.value - 1)
-            yield f  # Spark still applies each; this only saves rows
+    """A partition for each file.
+
+    A region comes as options and not as pushed filters: the engine keeps one
+    reader for all plans of a DataFrame, so a filter of one would act in the others.
+    """
+
+    def __init__(self, paths: Sequence[str], chrom: str | None, beg: int, end: int) -> None:
+        self.paths, self.chrom, self.beg, self.end = paths, chrom, beg, end
 
     def partitions(self) -> list[InputPartition]:
         found = []
@@ -204,13 +192,17 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader([x for x in self.options["path"].split(",") if x])
+        o = self.options
+        return BamReader([x for x in o["path"].split(",") if x], o.get("chrom"), int(o.get("beg", 0)), int(o.get("end", 1 << 31)))
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, region: Region | None = None) -> DataFrame:
+    """All reads, or those that overlap a region; others are skipped before they become rows."""
     spark.dataSource.register(BamSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("bam").load(path)
+    reader = spark.read.format("bam")
+    if region is not None:
+        reader = reader.options(chrom=region.chrom, beg=region.beg, end=region.end)
+    return reader.load(path)
 
 
 def bam_header_text(path: str) -> str:
