@@ -47,10 +47,12 @@ FOLDS, HELD_OUT = 7, 2
 #: No word holds white space, so these hashes are those of no word.
 END, START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" start")
 #: Text bytes in one batch, and in all for each pair shard.
-BATCH, SHARD_BYTES = 8 << 20, 32 << 20
+BATCH, SHARD_BYTES = 4 << 20, 16 << 20
 #: Discounts where the counts of counts give none.
 FALLBACK = 0.75
-PAIR = np.dtype([("hash", "<u8"), ("count", "<u4")])
+#: A pair is known by the 48 bits of its hash that follow those its shard has.  MANY stands for a count kept apart.
+PAIR = np.dtype([("high", "<u4"), ("low", "<u2"), ("count", "<u1")])
+MANY = 255
 WORD = np.dtype([("hash", "<u8"), ("count", "<u4"), ("after", "<u4"), ("once", "<u4"), ("twice", "<u4"), ("often", "<u4")])
 FILES = "kind string, shard int, path string, rows long, total long, n1 long, n2 long, n3 long, n4 long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -107,29 +109,37 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             cut = np.searchsorted(shard, np.arange((1 << bits) + 1, dtype=np.uint64))
             rows = []
             for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                mine = order[cut[k] : cut[k + 1]]
+                mine = np.sort(order[cut[k] : cut[k + 1]])  # in order of the first word, so steps between them are small
                 used, place = np.unique(np.concatenate((b.before[mine], b.after[mine])), return_inverse=True)
-                place = place.astype("<u2" if len(used) <= 65536 else "<u4")
-                counts = b.pair_count[mine]
-                counts = counts.astype("<u1" if counts.max() < 256 else "<u4")
-                rows.append((k, b.hashes[used].tobytes(), place[: len(mine)].tobytes(), place[len(mine) :].tobytes(), counts.tobytes(), len(mine)))
+                rows.append((k, b.hashes[used].tobytes(), _packed(np.diff(place[: len(mine)], prepend=0)), _packed(place[len(mine) :]), _packed(b.pair_count[mine]), len(mine)))
             kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "words", "before", "after", "counts", "n"])
 
     return run
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """As the narrowest unsigned integers."""
+    most = x.max()
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"<u{len(x) // n}")
+
+
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
 
 
-def _write(folder: str, kind: str, shard: int, rows: np.ndarray) -> str:
+def _write(folder: str, kind: str, shard: int, rows: np.ndarray, rest: bytes = b"") -> str:
     task = TaskContext.get()
     path = f"{folder}/{kind}-{shard:06d}-{task.stageId()}-{task.taskAttemptId()}"
     store, at = _store(path)
     with store.open_output_stream(at) as f:
         for name in rows.dtype.names:  # a column after the other
             f.write(np.ascontiguousarray(rows[name]).tobytes())
+        f.write(rest)
     return path
 
 
@@ -151,7 +161,7 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "file", "hashes", "values"])
 
 
-def _pairs(folder: str, word_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pairs(folder: str, bits: int, word_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sums a shard's pairs and writes them; yields what they say about words, and a row on the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,23 +169,27 @@ def _pairs(folder: str, word_bits: int) -> Callable[[Iterator[pa.RecordBatch]],
             before, after, counts = [], [], []
             for r in rows:
                 words = np.frombuffer(r["words"], np.uint64)
-                for out, x in ((before, r["before"]), (after, r["after"])):
-                    out.append(words[np.frombuffer(x, f"<u{len(x) // r['n']}")])
-                counts.append(np.frombuffer(r["counts"], f"<u{len(r['counts']) // r['n']}").astype(np.uint32))
+                before.append(words[np.cumsum(_unpacked(r["before"], r["n"]), dtype=np.int64)])
+                after.append(words[_unpacked(r["after"], r["n"])])
+                counts.append(_unpacked(r["counts"], r["n"]).astype(np.uint32))
             rows.clear()
             before, after, counts = (np.concatenate(x) for x in (before, after, counts))
             key = pair_hash(before, after)
             order = np.argsort(key)
             key = key[order]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            c = np.add.reduceat(counts[order].astype(np.int64), first)
+            before, after, known = before[order[first]], after[order[first]], key[first] << np.uint64(bits)
+            del key, order, counts
             out = np.empty(len(first), PAIR)
-            out["hash"], out["count"] = key[first], np.add.reduceat(counts[order].astype(np.int64), first)
-            before, after = before[order[first]], after[order[first]]
-            file = _file_row("pair", shard, _write(folder, "pair", shard, out), len(out), int(out["count"].sum(dtype=np.int64)), out["count"])
+            out["high"], out["low"], out["count"] = known >> np.uint64(32), known >> np.uint64(16) & np.uint64(0xFFFF), np.minimum(c, MANY)
+            many = np.flatnonzero(c >= MANY)
+            rest = np.concatenate((many.astype("<u4"), c[many].astype("<u4")))
+            file = _file_row("pair", shard, _write(folder, "pair", shard, out, rest.tobytes()), len(out), int(c.sum()), c)
             yield _parts([(-1, file, b"", b"")])
             words, place = np.unique(np.concatenate((before, after)), return_inverse=True)
             values = np.zeros((len(words), 5), np.uint32)
-            b, a, c = place[: len(before)], place[len(before) :], out["count"]
+            b, a = place[: len(before)], place[len(before) :]
             values[:, 0] = np.bincount(a, c, len(words))
             values[:, 1] = np.bincount(a, minlength=len(words))
             for k, at in ((2, c == 1), (3, c == 2), (4, c > 2)):
@@ -227,8 +241,8 @@ def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
 class Model:
     """What of the model is small: totals, discounts, and the files in order of hash."""
 
-    def __init__(self, files: list[dict]) -> None:
-        self.pairs = sorted((f for f in files if f["kind"] == "pair"), key=lambda f: f["shard"])
+    def __init__(self, files: list[dict], bits: int) -> None:
+        self.pairs = sorted((f | {"bits": bits} for f in files if f["kind"] == "pair"), key=lambda f: f["shard"])
         words = [f for f in files if f["kind"] == "word"]
         self.words = sorted(words, key=lambda f: f["shard"])
         total = lambda own, k: sum(f[k] for f in own)
@@ -258,9 +272,40 @@ def _mapped(path: str, kind: str, rows: int) -> dict[str, np.ndarray]:
         n = rows * dtype[name].itemsize
         columns[name] = data[offset : offset + n].view(dtype[name])
         offset += n
+    if kind == "pair":
+        columns["many"], columns["counts"] = data[offset:].view("<u4").reshape(2, -1)
     return columns
 
 
+def pair_counts(files: list[dict], wanted: np.ndarray) -> np.ndarray:
+    """How often the pairs with the hashes ``wanted`` were seen."""
+    order = np.argsort(wanted)
+    asked = wanted[order]
+    out = np.zeros(len(wanted), np.int64)
+    for f in files:
+        bits = f["bits"]
+        i, j = (np.searchsorted(asked >> np.uint64(64 - bits), f["shard"], side) for side in ("left", "right")) if bits else (0, len(asked))
+        if i >= j:
+            continue
+        columns = _mapped(f["path"], f["kind"], f["rows"])
+        key = asked[i:j] << np.uint64(bits)
+        high, low = (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(16)).astype(np.uint16)
+        at = np.searchsorted(columns["high"], high)
+        left = np.arange(j - i)
+        while len(left):  # more rounds than one only where pairs share their first 32 bits
+            left = left[at[left] < f["rows"]]
+            left = left[columns["high"][at[left]] == high[left]]
+            hit = columns["low"][at[left]] == low[left]
+            found = at[left[hit]]
+            count = columns["count"][found].astype(np.int64)
+            full = np.flatnonzero(count == MANY)
+            count[full] = columns["counts"][np.searchsorted(columns["many"], found[full])]
+            out[order[i + left[hit]]] = count
+            left = left[~hit]
+            at[left] += 1
+    return out
+
+
 def look_up(files: list[dict], wanted: np.ndarray, *names: str) -> list[np.ndarray]:
     """Columns of the rows with the hashes ``wanted``, 0 where there is none."""
     order = np.argsort(wanted)
@@ -282,7 +327,7 @@ def score_batch(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np
     """n_tokens, n_known, base_score and score of each text."""
     b = Batch(texts)
     count, after, once, twice, often = look_up(model.words, b.hashes, "count", "after", "once", "twice", "often")
-    (pair,) = look_up(model.pairs, pair_hash(b.hashes[b.before], b.hashes[b.after]), "count")
+    pair = pair_counts(model.pairs, pair_hash(b.hashes[b.before], b.hashes[b.after]))
     base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
     low = np.maximum(after - model.word_discounts[np.minimum(after, 3)], 0) / max(1, model.pair_kinds) + model.below
     d = model.pair_discounts
@@ -304,10 +349,10 @@ def train(docs: DataFrame, folder: str) -> Model:
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
     sent = common.doc_bytes(docs).mapInArrow(_count(bits), "shard int, words binary, before binary, after binary, counts binary, n int")
-    pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(_pairs(folder, word_bits), _PART)
+    pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(_pairs(folder, bits, word_bits), _PART)
     words = pairs.repartition(1 << word_bits, "shard").sortWithinPartitions("shard").mapInArrow(_words(folder), "file string")
     kinds = [x.split() for x in FILES.split(", ")]
-    return Model([{n: v if k == "string" else int(v) for (n, k), v in zip(kinds, r[0].split("\t"), strict=True)} for r in words.collect()])
+    return Model([{n: v if k == "string" else int(v) for (n, k), v in zip(kinds, r[0].split("\t"), strict=True)} for r in words.collect()], bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
