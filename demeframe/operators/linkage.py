@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genomics as G
@@ -20,32 +20,32 @@ from .diversity import WIN, on_spine
 GROUP = ["win_id", "pop_id"]
 
 
-def snps(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
-    """Sites with x derived of n samples, numbered k by position within window and population.
+def _varies(p: Params) -> Column:
+    """Whether a site is a SNP of the population.
 
     Only sites where the whole population passes count; the established tool takes all retained ones.
     """
     least = 2 if p.no_singletons else 1
-    rows = S.per_pop(found.where("fq > 0"), pops, p, "complete")
-    if not p.reference:
-        rows = rows.where("covered")
-    rows = rows.where((F.col("f") >= least) & (F.col("f") <= F.col("n") - least))
-    return rows.select(*GROUP, "pos", "mask", "pop_mask", "n", F.col("f").alias("x"), F.row_number().over(Window.partitionBy(*GROUP).orderBy("pos")).alias("k"))
+    out = (F.col("fq") > 0) & (F.col("f") >= least) & (F.col("f") <= F.col("n") - least)
+    return out if p.reference else out & F.col("covered")
+
 
+def snps(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
+    """SNPs with x derived of n samples, numbered k by position within window and population."""
+    rows = S.per_pop(found, pops, p, "complete").where(_varies(p))
+    return rows.select(*GROUP, "pos", "mask", "pop_mask", "n", F.col("f").alias("x"), F.row_number().over(Window.partitionBy(*GROUP).orderBy("pos")).alias("k"))
 
-def counted_sites(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
-    """Retained sites of a window, and whether its last segregating one varies (what the established tool counts besides)."""
-    return S.per_pop(found, pops, p, "complete").groupBy("win_id").agg(F.count_distinct("pos").alias("num_sites"))
 
+def counted(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
+    """s and num_sites of each window and population, from one pass over the same rows as the SNPs.
 
-def _s(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
-    """The number of SNPs; as the established tool has it, one for the last segregating site whether it varies or not."""
-    rows = snps(found, pops, p)
-    per = rows.groupBy(*GROUP).agg(F.count("*").alias("s"), F.max("pos").alias("last"))
-    if not p.reference:
-        return per.select(*GROUP, "s")
-    end = S.per_pop(found.where("fq > 0"), pops, p, "complete").groupBy(*GROUP).agg(F.max("pos").alias("end"))
-    return end.join(per, GROUP, "left").select(*GROUP, (F.coalesce("s", F.lit(0)) + F.when(F.col("last") == F.col("end"), 0).otherwise(1)).alias("s"))
+    A retained site has a row for each population, so rows are sites.  As the established tool has it, the
+    last segregating site is counted whether it varies or not.
+    """
+    rows = S.per_pop(found, pops, p, "complete").withColumn("snp", _varies(p))
+    per = rows.groupBy(*GROUP).agg(F.count("*").alias("num_sites"), F.count_if("snp").alias("s"), F.max(F.when(F.col("snp"), F.col("pos"))).alias("last"), F.max(F.when(F.col("fq") > 0, F.col("pos"))).alias("end"))
+    s = F.col("s") + F.when(F.col("end").isNotNull() & ~F.col("last").eqNullSafe(F.col("end")), 1).otherwise(0) if p.reference else F.col("s")
+    return per.select(*GROUP, "num_sites", s.cast("long").alias("s"))
 
 
 def r_squared(rows: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def r_squared(rows: DataFrame) -> DataFrame:
     return a.join(b, GROUP).where("i < j").select(*GROUP, "i", "j", F.try_divide(cov * cov, (n - x0) * x0 * (n - x1) * x1).alias("r2"))
 
 
-def _shown(per: DataFrame, found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params, values: list[str]) -> DataFrame:
-    out = on_spine(spine, S.literal(pops), per, ["pop_id"], ["s"]).join(counted_sites(found, pops, p), "win_id", "left").withColumn("num_sites", F.coalesce("num_sites", F.lit(0).cast("long")))
+def _shown(per: DataFrame, spine: DataFrame, pops: list[S.Pop], p: Params, values: list[str]) -> DataFrame:
+    out = on_spine(spine, S.literal(pops), per, ["pop_id"], ["s", "num_sites"])
     shown = F.col("s") >= p.min_snps
     if not p.reference:
         shown &= F.col("num_sites") >= p.min_sites
@@ -68,9 +68,9 @@ def _shown(per: DataFrame, found: DataFrame, pops: list[S.Pop], spine: DataFrame
 def zns(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
     """Kelly's ZnS: the mean of r squared."""
     total = r_squared(snps(found, pops, p)).groupBy(*GROUP).agg(F.sum("r2").alias("total"))
-    per = _s(found, pops, p).join(total, GROUP, "left")
-    per = per.select(*GROUP, "s", F.try_divide(F.lit(2.0) * F.col("total"), (F.col("s") * (F.col("s") - 1)).cast("double")).alias("zns"))
-    return _shown(per, found, pops, spine, p, ["zns"])
+    per = counted(found, pops, p).join(total, GROUP, "left")
+    per = per.select(*GROUP, "s", "num_sites", F.try_divide(F.lit(2.0) * F.col("total"), (F.col("s") * (F.col("s") - 1)).cast("double")).alias("zns"))
+    return _shown(per, spine, pops, p, ["zns"])
 
 
 def omega_of(mask: np.ndarray, x: np.ndarray, n: int, cumulative: bool = False) -> float | None:
@@ -110,8 +110,8 @@ def omega_max(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params)
 
     rows = snps(found, pops, p).select(*GROUP, "k", "mask", "x", "n")
     best = rows.groupBy(*GROUP).applyInArrow(run, "win_id long, pop_id int, omega double")
-    per = _s(found, pops, p).join(best, GROUP, "left")
-    return _shown(per, found, pops, spine, p, ["omega"])
+    per = counted(found, pops, p).join(best, GROUP, "left")
+    return _shown(per, spine, pops, p, ["omega"])
 
 
 def wall(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
@@ -119,6 +119,7 @@ def wall(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> Da
     rows = snps(found, pops, p).withColumn("split", G.canonical(F.col("mask"), F.col("pop_mask")))
     before = F.lag("split").over(Window.partitionBy(*GROUP).orderBy("pos"))
     rows = rows.withColumn("same", F.coalesce(F.col("split") == before, F.lit(False)))
-    per = rows.groupBy(*GROUP).agg(F.count("*").alias("s"), F.count_if("same").alias("b"), F.count_distinct(F.when(F.col("same"), F.col("split"))).alias("a"))
-    per = per.select(*GROUP, "s", F.try_divide(F.col("b").cast("double"), F.col("s") - 1).alias("wall_b"), F.try_divide((F.col("b") + F.col("a")).cast("double"), "s").alias("wall_q"))
-    return _shown(per, found, pops, spine, p, ["wall_b", "wall_q"])
+    found_splits = rows.groupBy(*GROUP).agg(F.count("*").alias("m"), F.count_if("same").alias("b"), F.count_distinct(F.when(F.col("same"), F.col("split"))).alias("a"))
+    per = counted(found, pops, p).join(found_splits, GROUP, "left")
+    per = per.select(*GROUP, "s", "num_sites", F.try_divide(F.col("b").cast("double"), F.col("m") - 1).alias("wall_b"), F.try_divide((F.col("b") + F.col("a")).cast("double"), "m").alias("wall_q"))
+    return _shown(per, spine, pops, p, ["wall_b", "wall_q"])

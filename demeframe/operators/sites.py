@@ -85,25 +85,29 @@ def required(n: Column, p: Params) -> Column:
     return F.floor(F.lit(float(p.min_pop)) * n + 0.4999).cast("long")
 
 
-def per_pop(found: DataFrame, pops: list[Pop], p: Params, rule: str = "proportion") -> DataFrame:
-    """A row for each retained site and population: ncov, f (derived), mask, n, covered.
+def _need(rule: str, p: Params):
+    return (lambda n: n) if rule == "complete" else (lambda n: required(n, p))
 
-    A site is retained if any population is covered: in proportion ``min_pop``, or with ``rule="complete"`` wholly.
-    """
-    ncov = lambda x: bits(F.col("cov_mask").bitwiseAND(x["pop_mask"]))
-    need = (lambda n: n) if rule == "complete" else (lambda n: required(n, p))
-    kept = found.where(F.exists(literal(pops), lambda x: ncov(x) >= need(x["n"])))
+
+def kept(found: DataFrame, pops: list[Pop], p: Params, rule: str = "proportion") -> DataFrame:
+    """Retained sites: those that cover any population, in proportion ``min_pop``, or wholly with ``rule="complete"``."""
+    need = _need(rule, p)
+    return found.where(F.exists(literal(pops), lambda x: bits(F.col("cov_mask").bitwiseAND(x["pop_mask"])) >= need(x["n"])))
+
+
+def per_pop(found: DataFrame, pops: list[Pop], p: Params, rule: str = "proportion") -> DataFrame:
+    """A row for each retained site and population: ncov, f (derived), mask, n, covered."""
+    need = _need(rule, p)
     # expressions over a handful of literals: no join and no exchange
-    rows = kept.select("*", F.explode(literal(pops)).alias("p")).select("*", "p.*").drop("p")
+    rows = kept(found, pops, p, rule).select("*", F.explode(literal(pops)).alias("p")).select("*", "p.*").drop("p")
     rows = rows.withColumn("mask", F.col("type_mask").bitwiseAND(F.col("pop_mask"))).withColumn("ncov", bits(F.col("cov_mask").bitwiseAND(F.col("pop_mask"))))
     return rows.withColumn("f", bits(F.col("mask"))).withColumn("covered", F.col("ncov") >= need(F.col("n")))
 
 
 def per_pair(found: DataFrame, pops: list[Pop], p: Params) -> DataFrame:
     """A row for each retained site and pair of populations, with ncov, f and covered of both."""
-    need = lambda n: required(n, p)
-    kept = found.where(F.exists(literal(pops), lambda x: bits(F.col("cov_mask").bitwiseAND(x["pop_mask"])) >= need(x["n"])))
-    rows = kept.select("*", F.explode(literal_pairs(pops)).alias("p")).select("*", "p.*").drop("p")
+    need = _need("proportion", p)
+    rows = kept(found, pops, p).select("*", F.explode(literal_pairs(pops)).alias("p")).select("*", "p.*").drop("p")
     for s in (1, 2):
         rows = rows.withColumn(f"ncov{s}", bits(F.col("cov_mask").bitwiseAND(F.col(f"mask{s}")))).withColumn(f"f{s}", bits(F.col("type_mask").bitwiseAND(F.col(f"mask{s}"))))
         rows = rows.withColumn(f"covered{s}", F.col(f"ncov{s}") >= need(F.col(f"n{s}")))

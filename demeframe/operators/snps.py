@@ -17,8 +17,7 @@ FASTA_WIDTH = 60
 
 def kept_sites(found: DataFrame, pops: list[S.Pop], p: Params, segregating: bool) -> DataFrame:
     """Sites that some population covers; with ``segregating`` those with a derived call."""
-    need = lambda x: S.required(x["n"], p)
-    kept = found.where(F.exists(S.literal(pops), lambda x: G.bits(F.col("cov_mask").bitwiseAND(x["pop_mask"])) >= need(x)))
+    kept = S.kept(found, pops, p)
     return kept.where("fq > 0") if segregating else kept
 
 
