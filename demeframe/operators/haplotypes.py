@@ -14,7 +14,10 @@ GROUP = ["win_id", "pop_id"]
 
 
 def retained(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
-    """num_sites of each window and population: a retained site has a row for each population."""
+    """num_sites and snps of each window and population: a retained site has a row for each population.
+
+    It reads the columns that the haplotypes read, so both share an exchange.
+    """
     return S.per_pop(found, pops, p, "complete").groupBy(*GROUP).agg(F.count("*").alias("num_sites"), F.count_if(F.expr("fq > 0 and covered and f > 0 and f < n")).alias("snps"))
 
 
@@ -35,7 +38,7 @@ def diversity(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params)
     diverse = F.lit(1.0) - F.coalesce(F.col("squares").cast("double") / (n * n), F.lit(1.0))
     ratio = F.when(F.col("n") == 2, F.lit(2.0)).otherwise(F.lit(1.0)) if p.reference else F.try_divide(n, n - 1)
     shown = F.col("num_sites") >= p.min_sites
-    return out.select(*WIN, "num_sites", "pop", F.when(shown, F.coalesce("k", F.lit(1).cast("long"))).alias("k"), F.when(shown, F.when(F.col("n") > 1, diverse * ratio).otherwise(0.0)).alias("kdiv"))
+    return out.select(*WIN, "num_sites", "pop", F.when(shown, F.when(F.col("snps") > 0, F.col("k")).otherwise(F.lit(1).cast("long"))).alias("k"), F.when(shown, F.when(F.col("n") > 1, diverse * ratio).otherwise(0.0)).alias("kdiv"))
 
 
 def ehhs(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
@@ -53,7 +56,7 @@ def ehhs(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> Da
     whole = F.lit(1.0) - (F.lit(1.0) - F.col("squares").cast("double") / (n * n)) * F.try_divide(n, n - 1)
     per = top.join(haps, GROUP).select(*GROUP, F.try_divide(whole, site).alias("ehhs"))
     out = on_spine(spine, S.literal(pops), retained(found, pops, p).join(per, GROUP, "left"), ["pop_id"], ["num_sites"])
-    return out.select(*WIN, "num_sites", "pop", F.when(F.col("num_sites") >= p.min_sites, F.col("ehhs")).alias("ehhs"))
+    return out.select(*WIN, "num_sites", "pop", F.when((F.col("num_sites") >= p.min_sites) & (F.col("snps") > 0), F.col("ehhs")).alias("ehhs"))
 
 
 def sample_pairs(pops: list[S.Pop]) -> Column:
