@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .operators import sites as S
 from .operators.pileup import to_pileup
-from .operators.windows import parse_region
+from .operators.snps import ms_header
+from .operators.windows import n_windows, parse_region
 from .params import Params
 from .plans.commands import COMMANDS, Prepared, prepare
 from .plans.formats import text
@@ -82,8 +83,14 @@ def load(spark: SparkSession, a: argparse.Namespace, p: Params) -> Prepared:
 
 
 def lines(spark: SparkSession, argv: list[str]) -> DataFrame:
+    """win_id and value; an ms file's header comes first, as win_id -1."""
     a = parser().parse_args(argv)
-    return text(a.command, load(spark, a, params(a)))
+    x = load(spark, a, params(a))
+    out = text(a.command, x)
+    if a.command == "snp" and x.params.output == 2:
+        head = spark.createDataFrame([(-1, ms_header(x.pops, n_windows(x.region, x.params)))], "win_id long, value string")
+        out = head.unionByName(out.select(F.col("win_id").cast("long").alias("win_id"), "value"))
+    return out
 
 
 def main(argv: list[str] | None = None) -> int:

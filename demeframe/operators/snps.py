@@ -10,7 +10,7 @@ from ..params import Params
 from . import sites as S
 
 #: The header of an ms file.
-MS_HEADER = "ms {samples} {windows} -t 5.0 -I {pops} {sizes}"
+MS_HEADER, MS_POPS = "ms {samples} {windows} -t 5.0", " -I {pops} {sizes}"
 MS_SEED = "1350154902"
 FASTA_WIDTH = 60
 
@@ -47,9 +47,16 @@ def sweepfinder(found: DataFrame, pops: list[S.Pop], p: Params, outgroup: int |
     return rows.select("win_id", "chrom", "pos", "pop_id", "pop", x.alias("x"), F.col("ncov").alias("n"))
 
 
-def ms_blocks(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
-    """win_id, segsites, positions (0 to 1 within the window) and a 0/1 row for each sample."""
-    kept = kept_sites(found, pops, p, True).groupBy("win_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type_mask"))).alias("sites"))
+def ms_blocks(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params, outgroup: int | None = None) -> DataFrame:
+    """win_id, segsites, positions (0 to 1 within the window) and a 0/1 row for each sample.
+
+    Where the outgroup has the derived allele, the other one is 1.
+    """
+    sites = kept_sites(found, pops, p, True)
+    if outgroup is not None:
+        flipped = F.col("type_mask").bitwiseXOR(F.lit(-1).cast("long"))
+        sites = sites.withColumn("type_mask", F.when(G.has_bit(F.col("type_mask"), outgroup), flipped).otherwise(F.col("type_mask")))
+    kept = sites.groupBy("win_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type_mask"))).alias("sites"))
     out = spine.join(kept, "win_id", "left").withColumn("sites", F.coalesce("sites", F.array().cast("array<struct<pos:int,type_mask:bigint>>")))
     samples = F.array(*[F.lit(i) for i in sorted(i for x in pops for i in x.samples)])
     width = (F.col("win_end") - F.col("win_beg")).cast("double")
@@ -64,7 +71,8 @@ def ms_text(blocks: DataFrame) -> DataFrame:
 
 
 def ms_header(pops: list[S.Pop], windows: int) -> str:
-    return MS_HEADER.format(samples=sum(x.n for x in pops), windows=windows, pops=len(pops), sizes=" ".join(str(x.n) for x in pops)) + "\n" + MS_SEED
+    head = MS_HEADER + (MS_POPS if len(pops) > 1 else "")
+    return head.format(samples=sum(x.n for x in pops), windows=windows, pops=len(pops), sizes=" ".join(str(x.n) for x in pops)) + "\n" + MS_SEED + "\n"
 
 
 def fasta(calls: DataFrame, spine: DataFrame, pops: list[S.Pop]) -> DataFrame:

@@ -67,7 +67,7 @@ def run(command: str, x: Prepared) -> DataFrame:
     if command == "snp":
         if o == 0:
             return snps.table(x.calls, x.sites, x.pops, x.params)
-        return snps.sweepfinder(x.sites, x.pops, x.params, x.outgroup) if o == 1 else snps.ms_blocks(x.sites, x.pops, x.spine, x.params)
+        return snps.sweepfinder(x.sites, x.pops, x.params, x.outgroup) if o == 1 else snps.ms_blocks(x.sites, x.pops, x.spine, x.params, x.outgroup)
     if command == "fasta":
         return snps.fasta(x.calls, x.spine, x.pops)
     raise ValueError(f"no command {command!r}; there are {', '.join(COMMANDS)}")

@@ -157,6 +157,9 @@ def test_ms_and_sweepfinder(found, windows):
     assert r["segsites"] == 7 and r["positions"].split()[0] == "0.03000000" and r["haplotypes"][0] == "1101101"
     assert snps.ms_text(snps.ms_blocks(found, POPS, windows, DOC)).where("win_id = 1").first()["value"] == "\n//\nsegsites: 0"
     assert snps.ms_header(POPS, 2).splitlines() == ["ms 7 2 -t 5.0 -I 2 4 3", "1350154902"]
+    flipped = snps.ms_blocks(found, POPS, windows, DOC, 6).where("win_id = 0").first()["haplotypes"]
+    assert flipped[0] == "1000111" and flipped[6] == "0000000"
+    assert snps.ms_header(POPS[:1], 3).splitlines()[0] == "ms 4 3 -t 5.0"
     out = {(r["pos"], r["pop"]): (r["x"], r["n"]) for r in snps.sweepfinder(found, POPS, DOC, 6).collect()}
     assert out[40, "A"] == (0, 4) and out[3, "A"] == (2, 4) and out[70, "B"] == (1, 3)
 
