@@ -32,37 +32,42 @@ def _by_pop(x: Prepared, rows: DataFrame) -> DataFrame:
 def text(command: str, x: Prepared) -> DataFrame:
     """win_id and value; write it ordered by win_id with ``write.text``."""
     rows = run(command, x)
+
+    def line(rows: DataFrame, *how) -> DataFrame:
+        # the established tool prints the end of a shortened window a base later
+        return wide(rows.withColumn("win_end", F.col("win_end") + 1) if x.params.reference else rows, *how)
+
     count, o = (lambda c: F.col(c).cast("string")), x.params.output
     if command == "nucdiv":
-        left = wide(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"ns": count("ns"), "pi": number(F.col("pi"))}, [])
+        left = line(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"ns": count("ns"), "pi": number(F.col("pi"))}, [])
         if len(x.pops) < 2:
             return left
         order = F.create_map(*[y for p in x.pops for y in (F.lit(p.name), F.lit(p.pop_id))])
         pairs = diversity.divergence_between(x.sites, x.pops, x.spine, x.params)
-        right = wide(pairs, [order[F.col("pop1")], order[F.col("pop2")]], F.concat_ws("-", "pop1", "pop2"), {"ns": count("ns"), "dxy": number(F.col("dxy"))}, [])
+        right = line(pairs, [order[F.col("pop1")], order[F.col("pop2")]], F.concat_ws("-", "pop1", "pop2"), {"ns": count("ns"), "dxy": number(F.col("dxy"))}, [])
         tail = F.substring_index("r", "\t", -4 * (len(x.pops) * (len(x.pops) - 1) // 2))
         return left.join(right.withColumnRenamed("value", "r"), "win_id").select("win_id", F.concat_ws("\t", "value", tail).alias("value"))
     if command == "sfs":
-        return wide(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"ns": count("ns"), "D": number(F.col("tajima_d")), "H": number(F.col("faywu_h"))}, [])
+        return line(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"ns": count("ns"), "D": number(F.col("tajima_d")), "H": number(F.col("faywu_h"))}, [])
     if command == "diverge" and o:
-        return wide(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"Fixed": count("fixed"), "Seg": count("seg"), "d": number(F.col("d"))}, ["num_sites"])
+        return line(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"Fixed": count("fixed"), "Seg": count("seg"), "d": number(F.col("d"))}, ["num_sites"])
     if command == "diverge":
         names = F.array(*map(F.lit, x.names))
-        return wide(rows, [F.col("sample_id")], F.element_at(names, F.col("sample_id") + 1), {"d": number(F.col("d"))}, ["num_sites"])
+        return line(rows, [F.col("sample_id")], F.element_at(names, F.col("sample_id") + 1), {"d": number(F.col("d"))}, ["num_sites"])
     if command == "ld":
         values = ({"Zns": "zns"}, {"omax": "omega"}, {"B": "wall_b", "Q": "wall_q"})[o]
-        return wide(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"S": count("s")} | {k: number(F.col(v)) for k, v in values.items()}, ["num_sites"])
+        return line(_by_pop(x, rows), [F.col("o")], F.col("pop"), {"S": count("s")} | {k: number(F.col(v)) for k, v in values.items()}, ["num_sites"])
     if command == "haplo" and o == 2:
         order = F.create_map(*[y for p in x.pops for y in (F.lit(p.name), F.lit(p.pop_id))])
-        within = wide(_by_pop(x, haplotypes.pairwise_pi(x.sites, x.pops, x.spine, x.params)), [F.col("o")], F.col("pop"), {"pi": number(F.col("pi"))}, ["num_sites"])
+        within = line(_by_pop(x, haplotypes.pairwise_pi(x.sites, x.pops, x.spine, x.params)), [F.col("o")], F.col("pop"), {"pi": number(F.col("pi"))}, ["num_sites"])
         if len(x.pops) < 2:
             return within
-        between = wide(rows, [order[F.col("pop1")], order[F.col("pop2")]], F.concat_ws("-", "pop1", "pop2"), {"dxy": number(F.col("mean_dxy")), "min": number(F.col("min_dxy"))}, ["num_sites"])
+        between = line(rows, [order[F.col("pop1")], order[F.col("pop2")]], F.concat_ws("-", "pop1", "pop2"), {"dxy": number(F.col("mean_dxy")), "min": number(F.col("min_dxy"))}, ["num_sites"])
         tail = F.substring_index("r", "\t", -4 * (len(x.pops) * (len(x.pops) - 1) // 2))
         return within.join(between.withColumnRenamed("value", "r"), "win_id").select("win_id", F.concat_ws("\t", "value", tail).alias("value"))
     if command == "haplo":
         values = {"EHHS": number(F.col("ehhs"))} if o else {"K": F.coalesce(count("k"), F.lit(NA)), "Kdiv": number(F.col("kdiv"))}
-        return wide(_by_pop(x, rows), [F.col("o")], F.col("pop"), values, ["num_sites"])
+        return line(_by_pop(x, rows), [F.col("o")], F.col("pop"), values, ["num_sites"])
     if command == "tree":
         return rows.select("win_id", F.concat_ws("\t", "chrom", (F.col("win_beg") + 1).cast("string"), F.col("win_end").cast("string"), count("num_sites"), F.coalesce("newick", F.lit("NA"))).alias("value"))
     if command == "snp" and o == 0:
