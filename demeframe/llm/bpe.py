@@ -41,17 +41,18 @@ CHUNK, OVERLAP = 16_384, 1_024
 #: Characters before a chunk's end within which a match might have gone on or come out otherwise.
 MARGIN = 4
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class _Pieces(dict):
     """Ids of each piece; forgets all when full, so its size is bounded."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]) -> None:
+    def __init__(self, encode: Callable[[bytes], list[int]], size: int) -> None:
         self.encode = encode
+        self.shared = list(range(size))  # one object an id
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(piece.encode()))
+        ids = tuple(map(self.shared.__getitem__, self.encode(piece.encode())))
         if len(self) >= REMEMBERED:
             self.clear()
         if len(piece) <= 64:
@@ -65,7 +66,7 @@ class ByteBPE:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = _Pieces(self.merges._encode_single_piece)
+        self.pieces = _Pieces(self.merges._encode_single_piece, max(ranks.values()) + 1)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.bytes_of[i] = b
@@ -131,8 +132,8 @@ def _text(b: bytes | None) -> str:
     return (b or b"").decode("utf-8", "replace")
 
 
-def _ids_array(rows: list[list[int]]) -> pa.Array:
-    flat = np.fromiter(itertools.chain.from_iterable(rows), np.int32, sum(map(len, rows)))
+def _ids_array(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32), flat)
 
 
@@ -142,7 +143,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
     def make() -> Callable[[pa.Table], pa.Table]:
         bpe = tokenizer(ranks_path or public_tokenizers.path(RANKS))
-        return lambda t: pa.table({"doc_id": t.column("doc_id"), "ids": _ids_array([bpe.encode(_text(x)) for x in t.column("text").to_pylist()])})
+        return lambda t: pa.table({"doc_id": t.column("doc_id"), "ids": _ids_array([np.array(bpe.encode(_text(x)), np.int32) for x in t.column("text").to_pylist()])})
 
     return common.map_tables(common.doc_bytes(docs), make, "doc_id long, ids array<int>", 4 << 20)
 

@@ -178,32 +178,42 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return judged.join(contexts, "term").where(p >= F.col("least")).groupBy("term").agg(F.max(p).alias("p"))
 
 
-def _spans(sent, first: bool) -> Callable[[pa.Table], pa.Table]:
+def _spans(sent, first: bool, clean: bool, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Adds a block's terms to the spans, after the base spans in the first pass.
+
+    With ``clean`` terms from REMOVE on are marked as such, and the last pass makes the sanitised text.
+    """
     terms = sent.value
 
     def run(table: pa.Table) -> pa.Table:
-        out = []
+        texts, out = [], []
         before = [[] for _ in range(table.num_rows)] if first else [[(x["kind"], x["start"], x["end"]) for x in r] for r in table.column("spans").to_pylist()]
         for raw, spans in zip(table.column("text").to_pylist(), before, strict=True):
-            if raw and (first or terms):
-                text = None
+            if raw:
+                text = raw.decode("utf-8", "replace") if first or spans else None
                 if first:
-                    text = raw.decode("utf-8", "replace")
                     spans = base_spans(text)
                 if terms and not terms.keys().isdisjoint(common.alnum_words(raw)):
                     text = text or raw.decode("utf-8", "replace")
-                    base = [(a, b) for k, a, b in spans if k != TERM]
+                    base = [(a, b) for k, a, b in spans if k in KINDS]
                     for m in WORD.finditer(text):
-                        if m[0].encode().translate(common.LOWER) in terms and not any(m.start() < b and m.end() > a for a, b in base):
-                            spans.append((TERM, m.start(), m.end()))
+                        p = terms.get(m[0].encode().translate(common.LOWER))
+                        if p is not None and not any(m.start() < b and m.end() > a for a, b in base):
+                            spans.append((REMOVED if clean and p >= REMOVE else TERM, m.start(), m.end()))
+                if clean and last and spans:
+                    raw = sanitise(text, spans).encode()
+            texts.append(raw)
             out.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-        return pa.table({"doc_id": table.column("doc_id"), "text": table.column("text"), "spans": pa.array(out, pa.list_(SPAN))})
+        return pa.table({"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.binary()), "spans": pa.array(out, pa.list_(SPAN))})
 
     return run
 
 
-def find_spans(docs: DataFrame, terms: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, text as bytes, and spans (kind, start, end in code points): base kinds, then ``terms`` (by default the disclosing ones)."""
+def find_spans(docs: DataFrame, terms: DataFrame | None = None, carry: Sequence[str] = (), clean: bool = False) -> DataFrame:
+    """doc_id, text as bytes, and spans (kind, start, end in code points): base kinds, then ``terms`` (by default the disclosing ones).
+
+    With ``clean`` the text comes out sanitised; ``carry`` names columns to keep.
+    """
     spark = docs.sparkSession
     common.arrow_limits(spark)
     terms = disclosing(docs) if terms is None else terms
@@ -211,7 +221,7 @@ def find_spans(docs: DataFrame, terms: DataFrame | None = None, carry: Sequence[
     out = common.doc_bytes(docs, *carry)
     for k, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(dict(block))
-        out = common.map_tables(out, lambda s=sent, z=k == 0: _spans(s, z), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20, carry)
+        out = common.map_tables(out, lambda s=sent, z=k == 0, y=k == len(blocks) - 1: _spans(s, z, clean, y), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20, carry)
     return out
 
 
@@ -235,39 +245,8 @@ def sanitise(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitised(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, the sanitised text, and the columns named in ``carry``.
-
-    How strong a disclosing term is comes with it in blocks, like the terms.
-    """
-    spark = docs.sparkSession
-    terms = common.written(disclosing(docs), "pii-terms")
-    out = find_spans(docs, terms, carry)
-    removed = terms.where(F.col("p") >= REMOVE).select("term")
-    blocks = list(common.in_blocks((bytes(r[0]) for r in removed.toLocalIterator()), BLOCK, lambda _: 1)) or [[]]
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(frozenset(block))
-        out = common.map_tables(out, lambda s=sent, z=k == len(blocks) - 1: _sanitise(s.value, z), "doc_id long, text binary, spans array<struct<kind:string,start:long,end:long>>", 4 << 20, carry)
-    return out.select("doc_id", F.col("text").cast("string").alias("text"), *carry)
-
-
-def _sanitise(removed: frozenset[bytes], last: bool) -> Callable[[pa.Table], pa.Table]:
-    """Marks spans of the terms in ``removed``; the last pass makes the text."""
-
-    def run(table: pa.Table) -> pa.Table:
-        texts, out = [], []
-        for raw, spans in zip(table.column("text").to_pylist(), table.column("spans").to_pylist(), strict=True):
-            if raw and spans:
-                text = raw.decode("utf-8", "replace")
-                for s in spans:
-                    if s["kind"] == TERM and text[s["start"] : s["end"]].encode().translate(common.LOWER) in removed:
-                        s["kind"] = REMOVED
-                if last:
-                    raw = sanitise(text, [(s["kind"], s["start"], s["end"]) for s in spans]).encode()
-            texts.append(raw)
-            out.append(spans)
-        return pa.table({"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.binary()), "spans": pa.array(out, pa.list_(SPAN))})
-
-    return run
+    """doc_id, the sanitised text, and the columns named in ``carry``."""
+    return find_spans(docs, carry=carry, clean=True).select("doc_id", F.col("text").cast("string").alias("text"), *carry)
 
 
 def report(found: DataFrame) -> DataFrame:
