@@ -59,11 +59,29 @@ class UnitTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        #: Bytes of each token: its name has a character a byte.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
         self.known: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
 
+    def _joined(self, units: list[str], together: int = 64) -> list[bytes]:
+        """Ids of units that start pre-tokens wherever they stand: encoded many in one text, and parted by their bytes."""
+        texts = ["".join(units[i : i + together]) for i in range(0, len(units), together)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        stops = np.cumsum(self.sizes[flat])
+        at = np.searchsorted(stops, ends)
+        if len(units) and (stops[at] != ends).any():
+            raise ValueError("a token crosses the end of a unit")
+        data = flat.astype(self.kind).tobytes()
+        cut = ((at + 1) * self.kind.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *cut], cut, strict=False)]
+
     def _packed(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         data = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(sizes.sum())).tobytes()
         ends = (np.cumsum(sizes) * self.kind.itemsize).tolist()
@@ -82,7 +100,7 @@ class UnitTokenizer:
             elif u not in known:
                 cores[u] = u
         new = list(set(cores.values()) - known.keys())
-        known.update(zip(new, self._packed([c if c[0] == "\n" else " " + c for c in new]), strict=True))
+        known.update(zip(new, self._joined([c if c[0] == "\n" else " " + c for c in new]), strict=True))
         tails = list({u[len(c) :] for u, c in cores.items()} - self.tails.keys())
         self.tails.update(zip(tails, self._packed(tails), strict=True))
         for u, c in cores.items():
@@ -97,18 +115,29 @@ class UnitTokenizer:
         # a line break becomes a unit's first character, and such a unit has no space in front
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = self._packed([x.pop(0) for x in split])
-        new: set[str] = set()
-        for x in split:
-            new.update(x)
-        self._learn(new.difference(self.known))
-        known = self.known.__getitem__
+        # distinct units of these texts first, so that the large table is asked once for each
+        here = dict.fromkeys(itertools.chain.from_iterable(split))
+        self._learn(here.keys() - self.known.keys())
+        packed = list(map(self.known.__getitem__, here))
+        here.update(zip(here, range(len(here)), strict=True))
+        sizes = np.array(list(map(len, split)), np.int64)
+        which = np.fromiter(map(here.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        whole = np.fromiter((x is None for x in packed), bool, len(packed))
+        data = np.frombuffer(b"".join(x for x in packed if x is not None), self.kind)
+        length = np.fromiter((len(x or b"") // self.kind.itemsize for x in packed), np.int64, len(packed))
+        start = np.cumsum(length) - length
+        n = length[which]
+        end = np.cumsum(n)
+        ids = data[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - start[which], n)]
+        stop = np.cumsum(sizes)
+        bad = np.concatenate(([0], np.cumsum(whole[which])))[np.concatenate(([0], stop))]
+        cut = np.concatenate(([0], end))[np.concatenate(([0], stop))].tolist()
         out: list[bytes | None] = []
-        for text, head, x in zip(texts, heads, split, strict=True):
-            got = [head, *map(known, x)]
-            if None in got or x and text[0].isspace() and text[0] != "\n":
+        for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
+            if bad[i + 1] > bad[i] or sizes[i] and text[0].isspace() and text[0] != "\n":
                 out.append(None)
             else:
-                out.append(b"".join(got))
+                out.append(head + ids[cut[i] : cut[i + 1]].tobytes())
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._packed([texts[i] for i in rest]), strict=True):
             out[i] = ids
