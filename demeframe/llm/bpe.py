@@ -41,7 +41,7 @@ CHUNK, OVERLAP = 16_384, 1_024
 #: Characters before a chunk's end within which a match might have gone on or come out otherwise.
 MARGIN = 4
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 class _Pieces(dict):

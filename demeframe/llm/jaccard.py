@@ -361,10 +361,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = common.doc_bytes(docs).where("doc_id is not null and text is not null")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
     shards = int(max(1, -(-shingles * PREFIX // 100 // SHARD)))
-    sent = texts.mapInArrow(_prefixes(shards, HOT), "shard int, hot boolean, classes binary, sizes binary, tokens binary, owner binary")
+    sent = texts.mapInArrow(common.tidy(_prefixes(shards, HOT)), "shard int, hot boolean, classes binary, sizes binary, tokens binary, owner binary")
     tasks = max(shards, spark.sparkContext.defaultParallelism)
-    told = sent.repartition(tasks, "shard").mapInArrow(_shared(shards), "bucket int, classes binary, sizes binary, tokens binary, ranks binary")
-    ties = common.written(told.repartition(tasks, "bucket").mapInArrow(_ties, "token long, cls long"), "jaccard-ties")
+    told = sent.repartition(tasks, "shard").mapInArrow(common.tidy(_shared(shards)), "bucket int, classes binary, sizes binary, tokens binary, ranks binary")
+    ties = common.written(told.repartition(tasks, "bucket").mapInArrow(common.tidy(_ties), "token long, cls long"), "jaccard-ties")
     least = ties.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").drop("most")
     near = components(ties.join(least, "token").where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v")))
     # one document of each class to be searched, and its tasks
@@ -373,7 +373,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = members.join(_groups(members), "cls").select("doc_id", "cls", "groups")
     sets = common.map_tables(texts.join(wanted, "doc_id").select("text", "cls", "groups"), _sets, "cls long, groups array<string>, shingles binary", 4 << 20)
     dealt = sets.select("cls", "shingles", F.explode("groups").alias("group"))
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_search, "u long, v long")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(common.tidy(_search), "u long, v long")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -348,9 +348,9 @@ def train(docs: DataFrame, folder: str) -> Model:
     word_bits = max(0, bits - 2)
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
-    sent = common.doc_bytes(docs).mapInArrow(_count(bits), "shard int, words binary, before binary, after binary, counts binary, n int")
-    pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(_pairs(folder, bits, word_bits), _PART)
-    words = pairs.repartition(1 << word_bits, "shard").sortWithinPartitions("shard").mapInArrow(_words(folder), "file string")
+    sent = common.doc_bytes(docs).mapInArrow(common.tidy(_count(bits)), "shard int, words binary, before binary, after binary, counts binary, n int")
+    pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_pairs(folder, bits, word_bits)), _PART)
+    words = pairs.repartition(1 << word_bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_words(folder)), "file string")
     kinds = [x.split() for x in FILES.split(", ")]
     return Model([{n: v if k == "string" else int(v) for (n, k), v in zip(kinds, r[0].split("\t"), strict=True)} for r in words.collect()], bits)
 

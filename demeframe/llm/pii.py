@@ -157,7 +157,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     """term and p, the largest p(e|t) among the entities it discloses."""
     spark = docs.sparkSession
     texts = common.doc_bytes(docs).select("text").where("text is not null")
-    near = common.written(texts.mapInArrow(_near, "entity string, term binary, signature long"), "pii-near")
+    near = common.written(texts.mapInArrow(common.tidy(_near), "entity string, term binary, signature long"), "pii-near")
     total = near.where("entity = ''").agg(F.sum("signature")).first()[0] or 0
     pairs = near.where("entity <> ''").distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
     mentions = near.where("entity <> ''").groupBy("entity").agg((F.approx_count_distinct("signature") / (2 * NEAR)).alias("mentions"))
@@ -168,7 +168,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     counted = None
     for block in common.in_blocks(((bytes(r[0]), r[1]) for r in limits.toLocalIterator()), BLOCK, lambda _: 1):
         sent = spark.sparkContext.broadcast(dict(block))
-        part = texts.mapInArrow(_contexts(sent), "term binary, signature long")
+        part = texts.mapInArrow(common.tidy(_contexts(sent)), "term binary, signature long")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return spark.createDataFrame([], "term binary, p double")

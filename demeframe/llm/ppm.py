@@ -23,6 +23,7 @@ lengths: the first language in order.  Repeated rows give one result each.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -168,7 +169,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per language the n-grams kept, in order, and their counts."""
-    counted = common.doc_bytes(labelled, "lang").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = common.doc_bytes(labelled, "lang").select("text", "lang").mapInArrow(common.tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = common.written(counted, "ppm-counts")
     sizes: dict[str, dict[int, int]] = {}
     for lang, log, n in counted.groupBy("lang", F.floor(F.log2("n")).alias("log")).count().collect():
@@ -197,8 +198,18 @@ def train(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _predict(trees) -> Callable[[pa.Table], pa.Table]:
-    model = Model(trees)
+_models: dict[str, Model] = {}
+
+
+def _model(sent, key: str) -> Model:
+    """One model for each broadcast and worker; only the last one is kept."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(sent.value)
+    return _models[key]
+
+
+def _predict(model: Model) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         texts = [t or b"" for t in table.column("text").to_pylist()]
@@ -223,8 +234,8 @@ def predict(docs: DataFrame, trees: dict[str, tuple[np.ndarray, np.ndarray]], ca
     """doc_id, lang_pred, score and bits_per_byte of every text; ``carry`` names columns to keep."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
-    sent = spark.sparkContext.broadcast(trees)
-    return common.map_tables(common.doc_bytes(docs, *(c for c in carry if c != "text")), lambda: _predict(sent.value), SCHEMA, 1 << 20, carry)
+    sent, key = spark.sparkContext.broadcast(trees), uuid.uuid4().hex
+    return common.map_tables(common.doc_bytes(docs, *(c for c in carry if c != "text")), lambda: _predict(_model(sent, key)), SCHEMA, 1 << 20, carry)
 
 
 def language(docs: DataFrame) -> DataFrame:

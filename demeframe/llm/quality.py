@@ -174,7 +174,7 @@ def references(docs: DataFrame) -> References:
     langs = labelled.groupBy("lang").count()
     total = langs.agg(F.sum("count")).first()[0] or 0
     used = [r[0] for r in langs.where(F.col("count") >= LANG_SHARE * total).limit(most + 1).collect()]
-    counted = labelled.where(F.col("lang").isin(used)).select("text", "lang").mapInArrow(_count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = labelled.where(F.col("lang").isin(used)).select("text", "lang").mapInArrow(common.tidy(_count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = common.written(counted, "quality-words")
     marks = counted.where(F.substring("word", 1, 1) == F.lit(b"\x00")).collect()
     chars = {x: np.zeros(CLASSES, np.int64) for x in used}
