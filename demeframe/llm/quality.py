@@ -5,7 +5,10 @@ with references of each language by Jensen-Shannon distance (base 2, square
 root taken, so 0 to 1).  The references are counted over all documents with a
 language; common words are those with at least one in ``1 / WORD_SHARE`` of a
 language's words, so there are at most that many of them.  The nearest language
-judges.  Texts too short for a histogram to mean anything are not judged by it.
+judges.  How far a text without any common word is depends on how much of the
+language they make up, so the limit is a part of that distance: in running text of
+MIN_WORDS words it is not reached, in one with next to no common word it is
+passed in every language.  Texts too short for a histogram to mean anything are not judged by it.
 
 Two narrow passes over the text; only (language, word) counts, summed in the
 tasks first, are shuffled.  The broadcast references are bounded: at most
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A word is common with so large a share of its language's words, a language is used with such a share of all documents.
-WORD_SHARE, LANG_SHARE = 0.005, 0.001
+WORD_SHARE, LANG_SHARE = 0.001, 0.001
 #: Characters and words below which the histograms don't judge.
 MIN_CHARS, MIN_WORDS = 300, 100
-#: Distances beyond which a document is dropped.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.55
+#: Distances beyond which a document is dropped; that of words as a part of the distance of a text without common words.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.88
 MIN_BASE_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang_ref string, char_distance double, word_distance double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lang_ref string, char_distance double, word_distance double, word_limit double"
 
 VOWELS, STOPS = b"aeiou", b".,;:!?'\"()-"
 CLASSES = 9
@@ -107,16 +110,17 @@ class References:
         self.langs = sorted(chars)
         self.chars = {x: chars[x].astype(float) for x in self.langs}
         self.place = {x: {w: i for i, w in enumerate(sorted(words.get(x, {})))} for x in self.langs}
-        self.words = {}
+        self.words, self.limit = {}, {}
         for x in self.langs:
             counts = [words[x][w] for w in self.place[x]] if self.place[x] else []
             self.words[x] = np.array([*counts, totals[x] - sum(counts)], float)
+            self.limit[x] = MAX_WORD_DISTANCE * distance(np.eye(len(counts) + 1)[-1], self.words[x])
         self.known = {w for x in self.langs for w in self.place[x]}
 
-    def judge(self, text: bytes, words: list[bytes]) -> tuple[str | None, float | None, float | None]:
-        """The nearest language and the distances; None where a guard holds."""
+    def judge(self, text: bytes, words: list[bytes]) -> tuple[str | None, float | None, float | None, float | None]:
+        """The nearest language, the distances and the limit of that of words; None where a guard holds."""
         if not self.langs or (len(text) < MIN_CHARS and len(words) < MIN_WORDS):
-            return None, None, None
+            return None, None, None, None
         classes = char_classes(text)
         judged_chars, judged_words = classes.sum() >= MIN_CHARS, len(words) >= MIN_WORDS
         counts = Counter(w for w in words if w in self.known) if judged_words else {}
@@ -132,8 +136,8 @@ class References:
                 h[-1] = len(words) - h.sum()
                 d = distance(h, self.words[x])
             if best is None or (c or 0) + (d or 0) < (best[1] or 0) + (best[2] or 0):
-                best = (x, c, d)
-        return best if best[1] is not None or best[2] is not None else (None, None, None)
+                best = (x, c, d, self.limit[x])
+        return best if best[1] is not None or best[2] is not None else (None, None, None, None)
 
 
 
@@ -202,7 +206,7 @@ def _score(refs) -> Callable[[pa.Table], pa.Table]:
             words = text.split()
             rows.append((len(words), *base_counts(text, words), *refs.judge(text, alnum_common(text))))
         names = [x.split()[0] for x in SCHEMA.split(", ")[1:]]
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table({"doc_id": table.column("doc_id")} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
@@ -216,7 +220,7 @@ def quality(docs: DataFrame) -> DataFrame:
     refs = spark.sparkContext.broadcast(references(docs))
     scored = common.map_tables(common.doc_bytes(docs), lambda: _score(refs.value), SCHEMA, 4 << 20)
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "lang_ref", "char_distance", "word_distance")
 
 

@@ -48,6 +48,20 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert got[101]["base_failed"] and got[102]["base_failed"] and got[103]["n_words"] == 0 and got[105]["base_failed"]
 
 
+def test_long_text_without_common_words_goes(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(7))
+    common = ["the", "of", "and", "to", "in", "is", "was", "for", "that", "with", "on", "as", "by", "this", "from", "it", "at", "are", "be", "or"]
+    # two words of five are common, as in sf0.1; the others occur once or twice
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else word() for _ in range(n))
+    salad = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, prose(100 + 10 * i), "en") for i in range(60)] + [(100, salad(150), "en"), (101, salad(600), None), (102, salad(600) + " the of", "en")]
+    got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in range(60))
+    for i in (100, 101, 102):
+        assert not got[i]["base_failed"] and not got[i]["kept"] and got[i]["char_distance"] < q.MAX_CHAR_DISTANCE
+
+
 def test_no_references(spark):
     docs = spark.createDataFrame([(1, "word " * 3, None)], "doc_id long, text string, lang string")
     assert q.quality(docs).collect()[0]["lang_ref"] is None
