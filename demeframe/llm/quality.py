@@ -4,15 +4,18 @@ A document's character-class histogram and common-word histogram are compared
 with references of each language by Jensen-Shannon distance (base 2, square
 root taken, so 0 to 1).  The references are counted over all documents with a
 language; common words are those with at least one in ``1 / WORD_SHARE`` of a
-language's words, so there are at most that many of them.  The nearest language
-judges.  How far a text without any common word is depends on how much of the
+language's words, so there are at most that many of them.  Every language that any
+document has gets a reference, however rare, so no labelled document is left to
+the others.  The nearest language judges, word distances counted as parts of that
+of a text without common words, as languages differ in it.  How far a text without any common word is depends on how much of the
 language they make up, so the limit is a part of that distance: in running text of
 MIN_WORDS words it is not reached, in one with next to no common word it is
 passed in every language.  Texts too short for a histogram to mean anything are not judged by it.
 
 Two narrow passes over the text; only (language, word) counts, summed in the
-tasks first, are shuffled.  The broadcast references are bounded: at most
-1 / LANG_SHARE languages with at most 1 / WORD_SHARE words each.
+tasks first, are shuffled.  The broadcast references are packed arrays: a row a
+language, and at most 1 / WORD_SHARE words each; a text is held against all
+languages at once, by the words that it has.
 
 Defined results.  Null text counts as empty.  With no labelled document there is
 no reference and the method keeps what the base rules keep.  Repeated rows give
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A word is common with so large a share of its language's words, a language is used with such a share of all documents.
-WORD_SHARE, LANG_SHARE = 0.001, 0.001
+#: A word is common with so large a share of its language's words.
+WORD_SHARE = 0.001
 #: Characters and words below which the histograms don't judge.
 MIN_CHARS, MIN_WORDS = 300, 100
 #: Distances beyond which a document is dropped; that of words as a part of the distance of a text without common words.
@@ -103,42 +106,64 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     return chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log2(np.where(x > 0, x, 1.0))
+
+
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a place with the shares p and q adds to the Jensen-Shannon divergence; q / 2 where p is 0."""
+    return (_xlogx(p) + _xlogx(q)) / 2 - _xlogx((p + q) / 2)
+
+
 class References:
-    """Per language: the character-class histogram, common words' places, and their histogram with the rest last."""
+    """Per language: the shares of the character classes and of common words, with the rest apart."""
 
     def __init__(self, chars: dict[str, np.ndarray], words: dict[str, dict[bytes, int]], totals: dict[str, int]) -> None:
         self.langs = sorted(chars)
-        self.chars = {x: chars[x].astype(float) for x in self.langs}
-        self.place = {x: {w: i for i, w in enumerate(sorted(words.get(x, {})))} for x in self.langs}
-        self.words, self.limit = {}, {}
-        for x in self.langs:
-            counts = [words[x][w] for w in self.place[x]] if self.place[x] else []
-            self.words[x] = np.array([*counts, totals[x] - sum(counts)], float)
-            self.limit[x] = MAX_WORD_DISTANCE * distance(np.eye(len(counts) + 1)[-1], self.words[x])
-        self.known = {w for x in self.langs for w in self.place[x]}
+        many = len(self.langs)
+        self.chars = np.array([chars[x] / chars[x].sum() for x in self.langs], float).reshape(many, CLASSES)
+        entries = sorted((w, k, n / totals[x]) for k, x in enumerate(self.langs) for w, n in words.get(x, {}).items())
+        #: A common word's number; its entries stand at start[i] to start[i + 1]: languages and shares there.
+        self.known: dict[bytes, int] = {}
+        starts = []
+        for i, (w, _, _) in enumerate(entries):
+            if w not in self.known:
+                self.known[w] = len(self.known)
+                starts.append(i)
+        self.start = np.array([*starts, len(entries)], np.int64)
+        self.lang = np.array([e[1] for e in entries], np.int64)
+        self.share = np.array([e[2] for e in entries], float)
+        covered = [sum(words.get(x, {}).values()) for x in self.langs]
+        self.rest = np.array([(totals[x] - n) / totals[x] if totals[x] else 0.0 for x, n in zip(self.langs, covered, strict=True)], float)
+        self.half = np.bincount(self.lang, self.share / 2, many)
+        self.wordless = np.array([not totals[x] for x in self.langs], bool)
+        #: The distance of a text without common words.
+        self.none = self.word_distances({}, 1)
+
+    def char_distances(self, classes: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, _shared(classes / classes.sum(), self.chars).sum(1)))
+
+    def word_distances(self, counts: dict[bytes, int], total: int) -> np.ndarray:
+        """From each language; 1 from those without words."""
+        which = np.array([self.known[w] for w in counts], np.int64)
+        first, n = self.start[which], self.start[which + 1] - self.start[which]
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        k = np.repeat(np.array(list(counts.values()), np.int64), n)
+        lang, q, many = self.lang[at], self.share[at], len(self.langs)
+        found = np.bincount(lang, _shared(k / total, q) - q / 2, many)
+        rest = _shared((total - np.bincount(lang, k, many)) / total, self.rest)
+        return np.where(self.wordless, 1.0, np.sqrt(np.maximum(0.0, self.half + found + rest)))
 
     def judge(self, text: bytes, words: list[bytes]) -> tuple[str | None, float | None, float | None, float | None]:
         """The nearest language, the distances and the limit of that of words; None where a guard holds."""
-        if not self.langs or (len(text) < MIN_CHARS and len(words) < MIN_WORDS):
+        classes = char_classes(text) if self.langs and (len(text) >= MIN_CHARS or len(words) >= MIN_WORDS) else None
+        c = self.char_distances(classes) if classes is not None and classes.sum() >= MIN_CHARS else None
+        d = self.word_distances(Counter(w for w in words if w in self.known), len(words)) if classes is not None and len(words) >= MIN_WORDS else None
+        if c is None and d is None:
             return None, None, None, None
-        classes = char_classes(text)
-        judged_chars, judged_words = classes.sum() >= MIN_CHARS, len(words) >= MIN_WORDS
-        counts = Counter(w for w in words if w in self.known) if judged_words else {}
-        best = None
-        for x in self.langs:
-            c = distance(classes, self.chars[x]) if judged_chars else None
-            d = None
-            if judged_words:
-                place, h = self.place[x], np.zeros(len(self.words[x]))
-                for w, n in counts.items():
-                    if w in place:
-                        h[place[w]] += n
-                h[-1] = len(words) - h.sum()
-                d = distance(h, self.words[x])
-            if best is None or (c or 0) + (d or 0) < (best[1] or 0) + (best[2] or 0):
-                best = (x, c, d, self.limit[x])
-        return best if best[1] is not None or best[2] is not None else (None, None, None, None)
-
+        part = 0.0 if d is None else np.where(self.none > 0, d / np.where(self.none > 0, self.none, 1.0), 1.0)
+        x = int(np.argmin((0.0 if c is None else c) + part))
+        return self.langs[x], None if c is None else float(c[x]), None if d is None else float(d[x]), float(MAX_WORD_DISTANCE * self.none[x])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,28 +199,27 @@ def alnum_common(text: bytes) -> list[bytes]:
 def references(docs: DataFrame) -> References:
     """Counted over all documents that have a language."""
     labelled = common.doc_bytes(docs, "lang").where("lang is not null and text is not null")
-    most = int(1 / LANG_SHARE)
-    langs = labelled.groupBy("lang").count()
-    total = langs.agg(F.sum("count")).first()[0] or 0
-    used = [r[0] for r in langs.where(F.col("count") >= LANG_SHARE * total).limit(most + 1).collect()]
-    counted = labelled.where(F.col("lang").isin(used)).select("text", "lang").mapInArrow(common.tidy(_count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = labelled.select("text", "lang").mapInArrow(common.tidy(_count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = common.written(counted, "quality-words")
-    marks = counted.where(F.substring("word", 1, 1) == F.lit(b"\x00")).collect()
-    chars = {x: np.zeros(CLASSES, np.int64) for x in used}
-    totals = dict.fromkeys(used, 0)
-    for lang, word, n in marks:
+    marks = counted.where(F.substring("word", 1, 1) == F.lit(b"\x00"))
+    chars: dict[str, np.ndarray] = {}
+    totals: dict[str, int] = {}
+    for lang, word, n in _rows(marks):
         if len(word) == 1:
             totals[lang] = n
-        elif len(word) == 2 and word[1] < CLASSES:
-            chars[lang][word[1]] += n
-    used = [x for x in used if totals[x] and chars[x].sum()]
-    words: dict[str, dict[bytes, int]] = {x: {} for x in used}
-    if used:
-        enough = F.create_map(*[y for x in used for y in (F.lit(x), F.lit(float(WORD_SHARE * totals[x])))])
-        frequent = counted.where(F.col("lang").isin(used) & (F.substring("word", 1, 1) != F.lit(b"\x00")) & (F.col("n") >= enough[F.col("lang")]))
-        for lang, word, n in frequent.collect():
-            words[lang][bytes(word)] = n
-    return References({x: chars[x] for x in used}, words, {x: totals[x] for x in used})
+        else:
+            chars.setdefault(lang, np.zeros(CLASSES, np.int64))[word[1]] += n
+    # a row a language, as the marks
+    each = F.broadcast(marks.where(F.length("word") == 1).select("lang", (WORD_SHARE * F.col("n")).alias("enough")))
+    words: dict[str, dict[bytes, int]] = {}
+    for lang, word, n in _rows(counted.where(F.substring("word", 1, 1) != F.lit(b"\x00")).join(each, "lang").where("n >= enough").select("lang", "word", "n")):
+        words.setdefault(lang, {})[word] = n
+    return References(chars, words, totals)
+
+
+def _rows(df: DataFrame) -> Iterator[tuple]:
+    for batch in df.toArrow().to_batches():
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 def _score(refs) -> Callable[[pa.Table], pa.Table]:

@@ -62,6 +62,34 @@ def test_long_text_without_common_words_goes(spark):
         assert not got[i]["base_failed"] and not got[i]["kept"] and got[i]["char_distance"] < q.MAX_CHAR_DISTANCE
 
 
+def test_all_languages_at_once_match_one_by_one():
+    rng = random.Random(4)
+    vocab = [bytes([97 + i]) * 3 for i in range(20)]
+    chars = {f"l{k}": np.array([rng.randrange(1, 50) * (rng.random() < 0.7) for _ in range(8)] + [1]) for k in range(30)}
+    words = {x: {w: rng.randrange(1, 9) for w in vocab if rng.random() < 0.4} for x in chars}
+    totals = {x: sum(w.values()) + rng.randrange(1, 60) for x, w in words.items()}
+    refs = q.References(chars, words, totals)
+    for _ in range(50):
+        text = [rng.choice([*vocab, b"other"]) for _ in range(rng.randrange(1, 300))]
+        classes = np.array([rng.randrange(9) for _ in range(8)] + [1])
+        c, d = refs.char_distances(classes), refs.word_distances({w: text.count(w) for w in {*text} & refs.known.keys()}, len(text))
+        for k, x in enumerate(refs.langs):
+            mine = list(words[x])
+            p = [text.count(w) for w in mine]
+            want = q.distance(np.array([*p, len(text) - sum(p)]), np.array([*words[x].values(), totals[x] - sum(words[x].values())]))
+            assert abs(d[k] - want) < 1e-7 and abs(c[k] - q.distance(classes, chars[x])) < 1e-7
+
+
+def test_rare_languages_have_references(spark):
+    rng = random.Random(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    rows = [(i, text("aeioulnrst", 60), "en") for i in range(2100)] + [(5000, text("абвгдежзиклмнопрст", 150), "ru"), (5001, text("абвгдежзиклмнопрст", 90), "bg"), (5002, "-- " * 100 + "".join(f"{chr(33 + i % 14)}{chr(58 + i % 7)} " for i in range(300)), "xx")]
+    got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 5000").collect()}
+    assert got[5000]["lang_ref"] == "ru" and got[5000]["kept"]
+    assert got[5001]["lang_ref"] == "bg" and got[5001]["kept"]
+    assert got[5002]["lang_ref"] == "xx" and got[5002]["char_distance"] < 1e-6
+
+
 def test_no_references(spark):
     docs = spark.createDataFrame([(1, "word " * 3, None)], "doc_id long, text string, lang string")
     assert q.quality(docs).collect()[0]["lang_ref"] is None
