@@ -13,7 +13,8 @@ at most unlisted files.  The list has one row a file; positions in front of each
 file are sums over it.  Files go to the folder that the session shares, through
 pyarrow's file systems, so it need not be a mounted one.
 
-Defined results.  Null text counts as empty.  Rows that repeat a doc_id are all
+Defined results.  Null text counts as empty.  The text of a special token is that
+token, as in the library's plain call.  Rows that repeat a doc_id are all
 written, ordered by text; null ids come first.  An empty table writes no file.
 """
 
@@ -49,7 +50,8 @@ class UnitTokenizer:
 
     A pre-token starts at each space or line break between two characters that
     are no white space, so a text of such units is the units' ids in a row.  A text
-    where white space stands beside them is encoded whole.
+    where white space stands beside them is encoded whole, and so is one with an added
+    token's text, which the library makes that token wherever it stands.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,7 +59,7 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         #: Bytes of each token: its name has a character a byte.
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -113,7 +115,8 @@ class UnitTokenizer:
         if len(self.tails) > REMEMBERED:
             self.tails.clear()
         # a line break becomes a unit's first character, and such a unit has no space in front
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        added = [any(a in t for a in self.added) for t in texts]
+        split = [[""] if a else t.replace("\n", " \n").split(" ") for t, a in zip(texts, added, strict=True)]
         heads = self._packed([x.pop(0) for x in split])
         # distinct units of these texts first, so that the large table is asked once for each
         here = dict.fromkeys(itertools.chain.from_iterable(split))
@@ -134,7 +137,7 @@ class UnitTokenizer:
         cut = np.concatenate(([0], end))[np.concatenate(([0], stop))].tolist()
         out: list[bytes | None] = []
         for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
-            if bad[i + 1] > bad[i] or sizes[i] and text[0].isspace() and text[0] != "\n":
+            if added[i] or bad[i + 1] > bad[i] or sizes[i] and text[0].isspace() and text[0] != "\n":
                 out.append(None)
             else:
                 out.append(head + ids[cut[i] : cut[i + 1]].tobytes())

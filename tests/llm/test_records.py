@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from demeframe.llm import common, records
 from demeframe.llm.crc32c import crc32c, masked
@@ -41,6 +42,27 @@ def test_units_equal_whole_texts(units):
     assert got == want
 
 
+def test_special_tokens_as_in_the_plain_call(units):
+    plain = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
+    texts = ["<|endoftext|>", "a<|endoftext|>b c", "one <|endoftext|>\ntwo. <|endoftext|>", "<|endoftext|> ", "plain words, no token", "<|endoftext", "|> <|endof text|>"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [50256]
+    # a second time from what is remembered
+    for _ in range(2):
+        assert [np.frombuffer(x, units.kind).tolist() for x in units.encode(texts)] == want
+
+
+def test_special_token_in_records(spark, make_docs):
+    plain = Tokenizer.from_file(public_tokenizers.path(records.TOKENIZER))
+    texts = ["a b", "end <|endoftext|> of text", "c"]
+    got = records.read_records(records.write_records(make_docs(texts), common.scratch(spark, "records"))).orderBy("doc_id").collect()
+    at = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_frames_detect_damage():
     data, starts = records.frame([b"", b"abc", b"x" * 1000])
     assert records.unframe(data, starts) == [b"", b"abc", b"x" * 1000]
