@@ -10,9 +10,9 @@ and remembered.  The language with the shortest code wins; ``score`` is its
 posterior probability under equal priors.
 
 Training counts n-grams over all labelled training texts: summed in the tasks,
-then shuffled by (language, n-gram).  Of these at most MAX_GRAMS, and
-TOTAL_GRAMS over all languages, reach the model (the most frequent; ties go
-out together), which bounds the broadcast.
+then shuffled by (language, n-gram).  All of them reach the model: the driver
+writes one language's tree at a time to the shared folder, as sorted arrays, and
+workers map the files; in a store that can't be mounted they read them.
 
 Defined results.  A text that is null or has no letter is ``und`` with score 0,
 and so is every text if nothing could be learned.  Rows with a null lang or a
@@ -28,13 +28,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 3
-MAX_GRAMS, TOTAL_GRAMS = 200_000, 4_000_000
 #: Bits a byte beyond which no learned language explains a text.
 REJECT_BITS = 6.5
 UNKNOWN = "und"
@@ -57,6 +57,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[np.cumsum(keep[:-1]) > 0], np.concatenate(([0], np.cumsum(sizes)))
 
 
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
 class Tree:
     """One language's context tree, as sorted n-gram arrays of each length."""
 
@@ -71,6 +75,43 @@ class Tree:
             self.seen.append((k, n))
             self.contexts.append((context, np.bincount(where, n, len(context)), np.bincount(where, minlength=len(context)).astype(float)))
 
+    def write(self, path: str) -> list[tuple[int, int]]:
+        """All arrays in a row, the wider ones of each order first; returns the sizes of each order's two tables."""
+        store, at = _store(path)
+        with store.open_output_stream(at) as f:
+            for (k, n), (context, total, kinds) in zip(self.seen, self.contexts, strict=True):
+                for x in (n, total, kinds):
+                    f.write(np.ascontiguousarray(x, np.float64).tobytes())
+                # u32 in pairs, so that what follows stays aligned
+                pad = np.zeros((len(k) + len(context)) % 2, np.uint32)
+                f.write(np.concatenate((k, context, pad)).astype(np.uint32).tobytes())
+        return [(len(k), len(c[0])) for (k, _), c in zip(self.seen, self.contexts, strict=True)]
+
+    @classmethod
+    def read(cls, path: str, sizes: list[tuple[int, int]]) -> Tree:
+        store, at = _store(path)
+        if isinstance(store, pafs.LocalFileSystem):
+            data = np.memmap(at, np.uint8, "r")
+        else:
+            with store.open_input_stream(at) as f:
+                data = np.frombuffer(f.read(), np.uint8)
+        offset = 0
+
+        def take(n: int, kind: type) -> np.ndarray:
+            nonlocal offset
+            offset += n * np.dtype(kind).itemsize
+            return np.asarray(data[offset - n * np.dtype(kind).itemsize : offset]).view(kind)
+
+        tree = cls.__new__(cls)
+        tree.seen, tree.contexts = [], []
+        for many, around in sizes:
+            n, total, kinds = take(many, np.float64), take(around, np.float64), take(around, np.float64)
+            k, context = take(many, np.uint32), take(around, np.uint32)
+            take((many + around) % 2, np.uint32)
+            tree.seen.append((k, n))
+            tree.contexts.append((context, total, kinds))
+        return tree
+
     @staticmethod
     def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -95,9 +136,9 @@ class Tree:
 
 
 class Model:
-    def __init__(self, trees: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, trees: dict[str, Tree | tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(trees)
-        self.trees = [Tree(*trees[x]) for x in self.langs]
+        self.trees = [x if isinstance(x, Tree) else Tree(*x) for x in map(trees.__getitem__, self.langs)]
         self.slots = 1 << max(12, min(20, int(np.log2((1 << 23) / max(1, len(self.langs))))))
         self.keys = np.full(self.slots, -1, np.int64)
         self.costs = np.zeros((len(self.langs), self.slots), np.float32)
@@ -167,34 +208,23 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where("lang is not null and text is not null and doc_id is not null and crc32(cast(cast(doc_id as long) as string)) % 3 != 1")
 
 
-def train(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language the n-grams kept, in order, and their counts."""
+#: Where a language's tree is, and the sizes of its tables.
+Trees = dict[str, tuple[str, list[tuple[int, int]]]]
+
+
+def train(labelled: DataFrame) -> Trees:
+    """Each language's tree of all its n-grams, in the shared folder."""
     counted = common.doc_bytes(labelled, "lang").select("text", "lang").mapInArrow(common.tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = common.written(counted, "ppm-counts")
-    sizes: dict[str, dict[int, int]] = {}
-    for lang, log, n in counted.groupBy("lang", F.floor(F.log2("n")).alias("log")).count().collect():
-        sizes.setdefault(lang, {})[log] = n
-    most = min(MAX_GRAMS, TOTAL_GRAMS // max(1, len(sizes)))
-    least = {}
-    for lang, logs in sizes.items():
-        held, low = 0, max(logs)
-        for log in sorted(logs, reverse=True):
-            held += logs[log]
-            if held > most:
-                break
-            low = log
-        least[lang] = 2**low
-    if not least:
-        return {}
-    enough = F.create_map(*[F.lit(y) for x in least.items() for y in x])
-    kept = counted.where(F.col("n") >= enough[F.col("lang")]).toArrow()
-    lang, gram, n = kept.column("lang").to_numpy(zero_copy_only=False), kept.column("gram").to_numpy(), kept.column("n").to_numpy()
+    # in order of lang, so that a scan for one language skips most of the others
+    counted = common.written(counted.sortWithinPartitions("lang"), "ppm-counts")
+    folder = common.scratch(labelled.sparkSession, "ppm-trees")
+    store, at = _store(folder)
+    store.create_dir(at, recursive=True)
     out = {}
-    for x in least:
-        mine = lang == x
-        order = np.argsort(gram[mine])
-        if len(order):
-            out[x] = gram[mine][order].astype(np.uint32), n[mine][order].astype(np.float64)
+    for k, lang in enumerate(sorted(x for (x,) in counted.select("lang").distinct().collect())):
+        mine = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        path = f"{folder}/{k:06d}.tree"
+        out[lang] = path, Tree(mine.column("gram").to_numpy().astype(np.uint32), mine.column("n").to_numpy().astype(np.float64)).write(path)
     return out
 
 
@@ -205,7 +235,7 @@ def _model(sent, key: str) -> Model:
     """One model for each broadcast and worker; only the last one is kept."""
     if key not in _models:
         _models.clear()
-        _models[key] = Model(sent.value)
+        _models[key] = Model({x: Tree.read(*at) for x, at in sent.value.items()})
     return _models[key]
 
 
@@ -230,7 +260,7 @@ def _predict(model: Model) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def predict(docs: DataFrame, trees: dict[str, tuple[np.ndarray, np.ndarray]], carry: Sequence[str] = ()) -> DataFrame:
+def predict(docs: DataFrame, trees: Trees, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of every text; ``carry`` names columns to keep."""
     spark = docs.sparkSession
     common.arrow_limits(spark)

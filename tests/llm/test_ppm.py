@@ -85,3 +85,18 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert by[1003]["lang_pred"] == "aa" and by[1004]["lang_pred"] in WORDS and by[None]["held_out"] is False
     assert all(r["lang_pred"] == "und" for r in ppm.language(docs.where("lang is null")).collect())
     assert ppm.language(docs.limit(0)).count() == 0
+
+
+def test_all_counted_grams_reach_the_model(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:-+ "
+    # more distinct n-grams in one language than 200,000
+    texts = ["".join(rng.choices(letters, k=3000)) for _ in range(140)] + ["plain words of a text " * 20]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1000, "another language here " * 30, "y")], "doc_id long, text string, lang string")
+    trained = [r["text"].encode() for r in ppm.training_rows(docs).where("lang = 'x'").collect()]
+    assert len(tree(trained)[0]) > 200_000
+    model = ppm.Model({"x": tree(trained)})
+    got = {r["doc_id"]: r for r in ppm.predict(docs, ppm.train(ppm.training_rows(docs))).collect()}
+    for i in (0, 1, 70, 139):
+        want = model.code_lengths([texts[i].encode()])[0, 0] / len(texts[i])
+        assert got[i]["lang_pred"] == "x" and abs(got[i]["bits_per_byte"] - want) < 1e-3
