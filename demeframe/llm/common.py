@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file in the shared folder, and the path there."""
+    return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
     spark = df.sparkSession
@@ -78,13 +84,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def drop_written(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    for at in paths:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def by_bytes(batches: Iterable[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.Table]:
     """Regroups Arrow batches into tables of about ``most`` bytes of ``column``.
 
@@ -149,17 +148,3 @@ def map_tables(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]]
         release()
 
     return df.mapInArrow(run, schema)
-
-
-def in_blocks(rows: Iterator, most_bytes: int, size: Callable) -> Iterator[list]:
-    """Rows in lists of at most about ``most_bytes``."""
-    block, held = [], 0
-    for row in rows:
-        n = size(row)
-        if block and held + n > most_bytes:
-            yield block
-            block, held = [], 0
-        block.append(row)
-        held += n
-    if block:
-        yield block

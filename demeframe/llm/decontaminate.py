@@ -5,22 +5,26 @@ Each task groups its documents into shards, indexes a shard's words
 occurrences and merges them into removal spans.  No row leaves its task: the
 plan is one scan without a shuffle.
 
-The benchmark reaches the tasks in blocks of at most ``block_bytes``; each block
-is broadcast and adds one more pass over the shard within the same stage, so no
-broadcast grows with the benchmark.
+The benchmark's windows are made in executors, in blocks of about ``block_bytes`` of
+item text, and written to the shared folder; the driver knows the files' names only.
+A task holds its table against one block after the other, keeping the last few
+blocks, so neither a broadcast nor a task's memory grows with the benchmark.
 
 Defined results.  Null or empty text: no words, no spans.  An item without words
 has no windows.  Repeated rows give one result each.  Other columns are ignored.
-A null ``item_id`` is left out, as an item without a name can't be reported.
+The windows of an item without ``item_id`` count as hits, but there is no id to report.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,31 +34,82 @@ from .fm_index import FMIndex
 WINDOW = 13
 #: Words that go into one index; three positions of it fit into a sort key.
 SHARD_WORDS = 1 << 19
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-CARRIED = "doc_id long, text binary, spans array<struct<start:long,end:long>>, items array<long>"
 
 
 class Windows:
-    """The distinct windows of a block of items as symbol rows, and the items of each."""
+    """The distinct windows of a block of items as symbol rows, and the items of each; window w's end at item_end[w]."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], width: int) -> None:
         self.width = width
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            words = common.alnum_words(text)
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.patterns = np.zeros((len(owners), width), np.int64)
-        for row, x in enumerate(owners):
-            self.patterns[row, width - len(x) :] = x
-        sizes = np.array([len(x) for x in owners.values()], np.int64)
-        self.item_end = np.cumsum(sizes)
-        self.item_size = sizes
-        self.items = np.array([i for x in owners.values() for i in sorted(x)], np.int64)
+        rows, owner = [np.empty((0, width), np.int32)], [np.empty(0, np.int64)]
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.symbols.setdefault(w, len(self.symbols) + 1) for w in common.alnum_words(text)], np.int32)
+            if len(ids):
+                own = np.lib.stride_tricks.sliding_window_view(ids, width) if len(ids) >= width else np.concatenate((np.zeros(width - len(ids), np.int32), ids))[None]
+                rows.append(np.unique(own, axis=0))
+                owner.append(np.full(len(rows[-1]), k))
+        self.patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(1)
+        names = np.array([0 if i is None else i for i, _ in items], np.int64)
+        named = np.array([i is not None for i, _ in items], bool)
+        owner = np.concatenate(owner)
+        pair = np.stack((which.reshape(-1), names[owner]))[:, named[owner]] if len(items) else np.empty((2, 0), np.int64)
+        pair = np.unique(pair, axis=1)
+        self.items = pair[1]
+        self.item_size = np.bincount(pair[0], minlength=len(self.patterns))
+        self.item_end = np.cumsum(self.item_size)
+
+    def to_bytes(self) -> bytes:
+        words = list(self.symbols)
+        out = io.BytesIO()
+        np.savez(out, width=self.width, patterns=self.patterns, lengths=self.lengths, items=self.items, item_size=self.item_size, words=np.frombuffer(b" ".join(words), np.uint8))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Windows:
+        x = np.load(io.BytesIO(data))
+        out = cls.__new__(cls)
+        out.width, out.patterns, out.lengths, out.items, out.item_size = int(x["width"]), x["patterns"], x["lengths"], x["items"], x["item_size"]
+        out.symbols = {w: k for k, w in enumerate(x["words"].tobytes().split(), 1)}
+        out.item_end = np.cumsum(out.item_size)
+        return out
+
+
+def _write_blocks(folder: str, width: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One file a block of items; the names carry the attempt, and only those of attempts that succeeded are listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        for k, table in enumerate(common.by_bytes(batches, block_bytes)):
+            path = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{k}"
+            store, at = common.store(path)
+            with store.open_output_stream(at) as f:
+                f.write(Windows(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), width).to_bytes())
+            yield pa.record_batch({"path": pa.array([path], pa.string())})
+
+    return run
+
+
+def window_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[str]:
+    """Files with the windows of all items."""
+    spark = benchmark.sparkSession
+    folder = common.scratch(spark, "windows")
+    store, at = common.store(folder)
+    store.create_dir(at, recursive=True)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    made = items.repartition(max(1, -(-size // block_bytes))).mapInArrow(common.tidy(_write_blocks(folder, width, block_bytes)), "path string")
+    return sorted(r[0] for r in made.collect())
+
+
+@lru_cache(2)
+def _block(path: str) -> Windows:
+    store, at = common.store(path)
+    with store.open_input_stream(at) as f:
+        return Windows.from_bytes(f.read())
 
 
 def _pieces(counts: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -115,7 +170,7 @@ def find_in_words(words: list[list[bytes]], windows: Windows, shard_words: int =
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         found = np.unique(np.stack((np.repeat(pair[0], size), windows.items[np.repeat(windows.item_end[pair[1]] - size, size) + offset])), axis=1)
         docs, first = np.unique(found[0], return_index=True)
-        for d, got in zip(docs, np.split(found[1], first[1:]), strict=True):
+        for d, got in zip(docs, np.split(found[1], first[1:]) if len(docs) else (), strict=True):
             items[a + d] = got
     parts = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.empty(0, np.int64)] * 3
     return parts[0], parts[1], parts[2], items
@@ -125,9 +180,9 @@ def _complete(index: FMIndex, windows: Windows) -> tuple[np.ndarray, np.ndarray]
     return index.search(windows.patterns, windows.lengths)
 
 
-def _merge(old: list[dict], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merge(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted([(x["start"], x["end"]) for x in old] + new):
+    for s, e in sorted(old + new):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -135,22 +190,29 @@ def _merge(old: list[dict], new: list[tuple[int, int]]) -> list[tuple[int, int]]
     return out
 
 
-def _pass(windows, last: bool) -> Callable[[pa.Table], pa.Table]:
+def _search(paths: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Spans and items of a table's texts, over one block after the other."""
+
     def run(table: pa.Table) -> pa.Table:
-        texts = table.column("text").to_pylist()
-        words = [common.alnum_words(t) if t else [] for t in texts]
-        doc, start, end, items = find_in_words(words, windows)
-        cut = np.searchsorted(doc, np.arange(len(words) + 1))
-        spans = [list(zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        found = [x.tolist() for x in items]
-        if "spans" in table.column_names:
-            before, had = table.column("spans").to_pylist(), table.column("items").to_pylist()
-            spans = [_merge(o, n) if o else n for o, n in zip(before, spans, strict=True)]
-            found = [sorted({*h, *f}) if h else f for h, f in zip(had, found, strict=True)]
+        words = [common.alnum_words(t) if t else [] for t in table.column("text").to_pylist()]
+        spans: list[list[tuple[int, int]]] = [[] for _ in words]
+        items: list[list[int]] = [[] for _ in words]
+        for path in paths:
+            doc, start, end, found = find_in_words(words, _block(path))
+            cut = np.searchsorted(doc, np.arange(len(words) + 1)).tolist()
+            for k, (i, j) in enumerate(itertools.pairwise(cut)):
+                if i < j:
+                    spans[k] = _merge(spans[k], list(zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)))
+                    items[k] = sorted({*items[k], *found[k].tolist()})
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        out = {"doc_id": table.column("doc_id")} | ({"n_words": pa.array([len(w) for w in words], pa.int64())} if last else {"text": table.column("text")})
-        out |= {"spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind), "items": pa.array(found, pa.list_(pa.int64()))}
-        return pa.table(out)
+        return pa.table(
+            {
+                "doc_id": table.column("doc_id"),
+                "n_words": pa.array([len(w) for w in words], pa.int64()),
+                "spans": pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind),
+                "items": pa.array(items, pa.list_(pa.int64())),
+            }
+        )
 
     return run
 
@@ -160,17 +222,9 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
 
     Spans are half-open and count words from 0.  ``carry`` names columns to keep.
     """
-    spark = docs.sparkSession
-    common.arrow_limits(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    blocks = list(common.in_blocks(((r[0], bytes(r[1])) for r in items.toLocalIterator()), block_bytes, lambda x: len(x[1]) + 16)) if spark else []
-    rest = [c for c in carry if c != "text"]
-    out = common.doc_bytes(docs, *rest)
-    sent = [spark.sparkContext.broadcast(Windows(b, width)) for b in blocks] or [spark.sparkContext.broadcast(Windows([], width))]
-    for k, windows in enumerate(sent):
-        last = k == len(sent) - 1
-        out = common.map_tables(out, lambda w=windows, z=last: _pass(w.value, z), SCHEMA if last else CARRIED, table_bytes, carry if last else rest)
-    return out
+    common.arrow_limits(docs.sparkSession)
+    paths = window_blocks(benchmark, width, block_bytes)
+    return common.map_tables(common.doc_bytes(docs, *(c for c in carry if c != "text")), lambda: _search(paths), SCHEMA, table_bytes, carry)
 
 
 def report(spans: DataFrame) -> DataFrame:

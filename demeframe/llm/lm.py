@@ -128,14 +128,10 @@ def _unpacked(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, f"<u{len(x) // n}")
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
-
-
 def _write(folder: str, kind: str, shard: int, rows: np.ndarray, rest: bytes = b"") -> str:
     task = TaskContext.get()
     path = f"{folder}/{kind}-{shard:06d}-{task.stageId()}-{task.taskAttemptId()}"
-    store, at = _store(path)
+    store, at = common.store(path)
     with store.open_output_stream(at) as f:
         for name in rows.dtype.names:  # a column after the other
             f.write(np.ascontiguousarray(rows[name]).tobytes())
@@ -260,7 +256,7 @@ class Model:
 @lru_cache(4096)
 def _mapped(path: str, kind: str, rows: int) -> dict[str, np.ndarray]:
     """A file's columns; mapped where the shared folder is mounted, else read."""
-    store, at = _store(path)
+    store, at = common.store(path)
     columns, offset = {}, 0
     if isinstance(store, pafs.LocalFileSystem):
         data = np.memmap(at, np.uint8, "r")
@@ -346,7 +342,7 @@ def train(docs: DataFrame, folder: str) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(size // SHARD_BYTES).bit_length())
     word_bits = max(0, bits - 2)
-    store, at = _store(folder)
+    store, at = common.store(folder)
     store.create_dir(at, recursive=True)
     sent = common.doc_bytes(docs).mapInArrow(common.tidy(_count(bits)), "shard int, words binary, before binary, after binary, counts binary, n int")
     pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_pairs(folder, bits, word_bits)), _PART)

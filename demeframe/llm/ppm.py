@@ -57,10 +57,6 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[np.cumsum(keep[:-1]) > 0], np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 class Tree:
     """One language's context tree, as sorted n-gram arrays of each length."""
 
@@ -77,7 +73,7 @@ class Tree:
 
     def write(self, path: str) -> list[tuple[int, int]]:
         """All arrays in a row, the wider ones of each order first; returns the sizes of each order's two tables."""
-        store, at = _store(path)
+        store, at = common.store(path)
         with store.open_output_stream(at) as f:
             for (k, n), (context, total, kinds) in zip(self.seen, self.contexts, strict=True):
                 for x in (n, total, kinds):
@@ -89,7 +85,7 @@ class Tree:
 
     @classmethod
     def read(cls, path: str, sizes: list[tuple[int, int]]) -> Tree:
-        store, at = _store(path)
+        store, at = common.store(path)
         if isinstance(store, pafs.LocalFileSystem):
             data = np.memmap(at, np.uint8, "r")
         else:
@@ -218,7 +214,7 @@ def train(labelled: DataFrame) -> Trees:
     # in order of lang, so that a scan for one language skips most of the others
     counted = common.written(counted.sortWithinPartitions("lang"), "ppm-counts")
     folder = common.scratch(labelled.sparkSession, "ppm-trees")
-    store, at = _store(folder)
+    store, at = common.store(folder)
     store.create_dir(at, recursive=True)
     out = {}
     for k, lang in enumerate(sorted(x for (x,) in counted.select("lang").distinct().collect())):

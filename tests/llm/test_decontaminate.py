@@ -21,7 +21,7 @@ def brute(docs, items, width=13):
                 for p in range(len(words) - len(x) + 1):
                     if words[p : p + len(x)] == x:
                         hit.update(range(p, p + len(x)))
-                        found.add(item)
+                        found |= {item} - {None}
         names = ",".join(sorted(map(str, found)))
         out[doc] = (len(words), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words))
     return out
@@ -49,7 +49,7 @@ def test_matches_brute_force(spark, make_docs):
     rng = random.Random(3)
     word = lambda: rng.choice(["a", "b", "c", "Ñu", "d1", "x"])
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 13, 20, 30, 1, 14])] + [(9, ""), (10, None), (11, "?!"), (100, "a b c")]
-    items.append((12, items[3][1]))
+    items += [(12, items[3][1]), (12, items[2][1]), (None, "c c b a"), (None, items[3][1])]
     docs = [" ".join(word() for _ in range(rng.randrange(60))) for _ in range(30)]
     docs += [items[3][1] + ". zz " * 40, "zz " + items[2][1].upper() + "!", None, "", "...", items[1][1], items[1][1]]
     rows = list(enumerate(docs))
@@ -73,3 +73,22 @@ def test_empty_tables_and_extra_columns(spark, make_docs):
     got = sorted(report(removal_spans(docs, bench)).collect())
     assert [tuple(r[:4]) for r in got] == [(0, 2, 0, 0), (1, 0, 0, 0)]
     assert report(removal_spans(docs.limit(0), bench)).count() == 0
+
+
+def test_item_without_id_counts_as_hit(spark, make_docs):
+    got = report(removal_spans(make_docs(["a b c d"]), spark.createDataFrame([(None, "a b c")], "item_id long, text string"))).first()
+    assert tuple(got[:4]) == (0, 4, 3, 0) and got["contaminated"]
+
+
+def test_blocks_survive_writing():
+    a = Windows([(1, b"a b c"), (None, b"b"), (2, b"a b c"), (3, b" ".join(b"w%d" % i for i in range(40)))], 13)
+    b = Windows.from_bytes(a.to_bytes())
+    assert a.symbols == b.symbols and all((getattr(a, x) == getattr(b, x)).all() for x in ("patterns", "lengths", "items", "item_size", "item_end"))
+    assert len(a.patterns) == 30 and a.item_size.sum() == 2 + 28
+
+
+def test_very_long_text(spark, make_docs):
+    item = " ".join(f"q{i}" for i in range(20))
+    text = ("zz yy " * 200_000 + item + " ") * 2
+    got = report(removal_spans(make_docs([text, "x"]), spark.createDataFrame([(5, item)], "item_id long, text string"))).orderBy("doc_id").collect()
+    assert tuple(got[0][:4]) == (0, 800_040, 40, 1) and tuple(got[1][:4]) == (1, 1, 0, 0)
