@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("-e", dest="no_singletons", action="store_true", help="leave out singletons")
         v.add_argument("-t", dest="substitutions_only", action="store_true", help="count fixed differences only")
         v.add_argument("-v", dest="variable_only", action="store_true", help="variable sites only")
+        v.add_argument("--infinite-sites", dest="infinite_sites", action="store_true", help="only positions with two alleles at most")
         v.add_argument("--min-site-frac", dest="min_site_frac", type=float, help="aligned sites as a share of the window")
         v.add_argument("--compat", default="documented", choices=["documented", "reference"])
     return top
@@ -75,11 +77,13 @@ def load(spark: SparkSession, a: argparse.Namespace, p: Params) -> Prepared:
     lengths = {r["chrom"]: r["length"] for r in header.contigs(head).collect()}
     region = parse_region(a.region, lengths)
     reads = alignments.read_bam(spark, a.reads, region) if bam else alignments.read_sam(spark, a.reads)
-    samples = S.sample_table(header.read_groups(head)).persist()
+    groups = header.read_groups(head)
+    named = bool(groups.take(1))
+    samples = (S.sample_table(groups) if named else S.single_sample(spark, os.path.basename(a.reads.rstrip("/")))).persist()
     names = [r["sample"] for r in samples.select("sample_id", "sample").distinct().orderBy("sample_id").collect()]
     near = alignments.overlapping(reads, region.chrom, region.beg, region.end)
     ref = fasta.ref_bases(fasta.read_chunks(spark, a.fasta), region.chrom, region.beg, region.end)
-    return prepare(spark, to_pileup(near, samples.select("rg", "sample_id"), p), ref, S.assign_pops(samples), names, region, p)
+    return prepare(spark, to_pileup(near, samples.select("rg", "sample_id") if named else None, p), ref, S.assign_pops(samples), names, region, p)
 
 
 def lines(spark: SparkSession, argv: list[str]) -> DataFrame:

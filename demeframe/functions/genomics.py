@@ -100,5 +100,7 @@ def faywu_h(sum_weights: Column, segregating: Column, n: Column) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """jukes_cantor(p) as a SQL function of the session."""
+    """SQL functions of the session: jukes_cantor(p), and tajima_d(s, n, sum_dw) of s segregating sites among n samples with their summed weights."""
+    e1, e2 = (f"element_at(array({', '.join(f'{x!r}D' for x in constants(k))}), n + 1)" for k in (2, 3))
+    spark.sql(f"create or replace temporary function tajima_d(s bigint, n int, sum_dw double) returns double return if(n >= 4 and s > 0, try_divide(sum_dw, sqrt({e1} * s + {e2} * s * (s - 1))), null)")
     spark.sql("create or replace temporary function jukes_cantor(p double) returns double return if(1 - 4 * p / 3 > 0, -0.75D * ln(1 - 4 * p / 3), null)")

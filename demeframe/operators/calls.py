@@ -49,17 +49,30 @@ def error_table(deepest: int) -> list[list[np.ndarray]]:
     return out
 
 
-def error_frame(spark: SparkSession, deepest: int = DEEPEST) -> DataFrame:
-    """qq, n and an array over k."""
-    table = error_table(deepest)
-    q = np.repeat(np.arange(4, 64), deepest)
-    n = np.tile(np.arange(1, deepest + 1), 60)
-    return spark.createDataFrame(pa.table({"qq": pa.array(q, pa.int32()), "n": pa.array(n, pa.int32()), "beta": pa.array([list(x) for rows in table for x in rows], pa.list_(pa.float64()))}))
+_frames: dict[tuple[str, int], DataFrame] = {}
 
 
-def log_binomial(n: Column, k: Column) -> Column:
-    values = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(DEEPEST + 1)])
-    at = lambda x: F.element_at(values, x.cast("int") + 1)
+def error_frame(spark: SparkSession, deepest: int = DEEPEST) -> DataFrame:
+    """qq, n and an array over k; made once a session."""
+    key = (spark.sparkContext.applicationId, deepest)
+    if key not in _frames:
+        table = error_table(deepest)
+        q = np.repeat(np.arange(4, 64), deepest)
+        n = np.tile(np.arange(1, deepest + 1), 60)
+        beta = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate([x for rows in table for x in rows]))
+        _frames.clear()
+        _frames[key] = spark.createDataFrame(pa.table({"qq": pa.array(q, pa.int32()), "n": pa.array(n, pa.int32()), "beta": beta}))
+    return _frames[key]
+
+
+@lru_cache(1)
+def _log_factorials() -> str:
+    return f"array({', '.join(f'{math.lgamma(i + 1)!r}D' for i in range(DEEPEST + 1))})"
+
+
+def log_binomial(n: Column, k: Column, factorials: str = "log_factorials") -> Column:
+    """From a column with the array of log factorials."""
+    at = lambda x: F.element_at(F.col(factorials), x.cast("int") + 1)
     return at(n) - at(k) - at(n - k)
 
 
@@ -98,7 +111,7 @@ def likelihoods(bases: DataFrame, p: Params) -> DataFrame:
             n, k = F.col(f"c{i}") + F.col(f"c{j}"), F.col(f"c{j}")
             others = others - F.lit(4.343) * (log_binomial(n, k) - n * F.lit(math.log(2)))
         out.append(F.greatest(others, F.lit(0.0)).alias(f"lk_{i}{j}"))
-    return cells.select(*cell, "depth", "rms", *out)
+    return cells.withColumn("log_factorials", F.expr(_log_factorials())).select(*cell, "depth", "rms", *out)
 
 
 def consensus(cells: DataFrame) -> DataFrame:

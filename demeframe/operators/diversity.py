@@ -33,6 +33,18 @@ def enough(count: Column, p: Params, fraction: bool) -> Column:
     return count >= p.min_sites
 
 
+def ratio_sums(rows: DataFrame, keys: list[str], num: Column, den: Column, **counts: Column) -> DataFrame:
+    """``total``, the sum of num / den over whole numbers by ``keys``, and sums of ``counts``.
+
+    Numerators of one denominator are added first, as whole numbers, and these few quotients in order
+    of the denominator; so the total is the same in whatever order the rows come.
+    """
+    per = rows.groupBy(*keys, den.cast("long").alias("den")).agg(F.sum(num).alias("num"), *[c.alias(n) for n, c in counts.items()])
+    parts = F.array_sort(F.collect_list(F.struct("den", "num")))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["num"].cast("double") / x["den"].cast("double"))
+    return per.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts], total.alias("total"))
+
+
 def _square(n: Column, p: Params) -> Column:
     """Pairs' divisor: n (n - 1), or (n - 1) squared as the established tool has it."""
     return (n - 1) * (n - 1) if p.reference else n * (n - 1)
@@ -41,14 +53,14 @@ def _square(n: Column, p: Params) -> Column:
 def nucleotide_diversity(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
     """ns and pi of each window and population."""
     rows = S.per_pop(found, pops, p)
-    f, m = F.col("f").cast("double"), F.col("ncov").cast("double")
+    f, m = F.col("f"), F.col("ncov")
     counts = (F.col("fq") > 0) & (F.col("ncov") > 1)
     if not p.reference:
         counts &= F.col("covered")
     if p.no_singletons:
         counts &= F.col("f") > 1
-    term = F.when(counts, F.try_divide(F.lit(2.0) * f * (m - f), _square(m, p))).otherwise(0.0)
-    per = rows.groupBy("win_id", "pop_id").agg(F.count_if("covered").alias("ns"), F.sum(term).alias("total"))
+    num, den = F.when(counts, 2 * f * (m - f)).otherwise(0), F.when(counts, _square(m, p)).otherwise(1)
+    per = ratio_sums(rows, ["win_id", "pop_id"], num, den, ns=F.count_if("covered"))
     out = on_spine(spine, S.literal(pops), per, ["pop_id"], ["ns"])
     return out.select(*WIN, "pop", "ns", F.when(enough(F.col("ns"), p, False), F.try_divide("total", "ns")).alias("pi"))
 
@@ -56,13 +68,13 @@ def nucleotide_diversity(found: DataFrame, pops: list[S.Pop], spine: DataFrame,
 def divergence_between(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
     """ns and d_xy of each window and pair of populations."""
     rows = S.per_pair(found, pops, p)
-    f1, f2, m1, m2 = (F.col(c).cast("double") for c in ("f1", "f2", "ncov1", "ncov2"))
+    f1, f2, m1, m2 = map(F.col, ("f1", "f2", "ncov1", "ncov2"))
     both = F.col("covered1") & F.col("covered2")
     counts = (F.col("fq") > 0) & (F.col("ncov1") > 0) & (F.col("ncov2") > 0)
     if not p.reference:
         counts &= both
-    term = F.when(counts, F.try_divide(f1 * (m2 - f2) + f2 * (m1 - f1), m1 * m2)).otherwise(0.0)
-    per = rows.groupBy("win_id", "pop1_id", "pop2_id").agg(F.count_if(both).alias("ns"), F.sum(term).alias("total"))
+    num, den = F.when(counts, f1 * (m2 - f2) + f2 * (m1 - f1)).otherwise(0), F.when(counts, m1 * m2).otherwise(1)
+    per = ratio_sums(rows, ["win_id", "pop1_id", "pop2_id"], num, den, ns=F.count_if(both))
     out = on_spine(spine, S.literal_pairs(pops), per, ["pop1_id", "pop2_id"], ["ns"])
     return out.select(*WIN, "pop1", "pop2", "ns", F.when(enough(F.col("ns"), p, True), F.try_divide("total", "ns")).alias("dxy"))
 

@@ -1,8 +1,9 @@
 """Linkage disequilibrium per window and population: ZnS, omega-max, Wall's B and Q.
 
 Sites are bit sets, so r squared is a few bit counts.  ZnS and Wall's statistics
-are relational; omega-max needs every split of a window, so a grouped Arrow
-function takes each window's bit sets (two numbers a site) with prefix sums.
+are relational; ZnS looks at pairs of distinct bit sets only.  Omega-max needs every split of a window, so a grouped Arrow
+function takes each window's bit sets (two numbers a site) with prefix sums; it works in blocks of
+rows, so its memory grows with the sites and not with their pairs.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import genomics as G
 from ..params import Params
 from . import sites as S
-from .diversity import WIN, on_spine
+from .diversity import WIN, on_spine, ratio_sums
 
 GROUP = ["win_id", "pop_id"]
+#: Tasks over which the pairs of one window and population are dealt; pairs that omega holds at once.
+BLOCKS, PAIRS = 16, 4_000_000
 
 
 def _varies(p: Params) -> Column:
@@ -48,13 +51,25 @@ def counted(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
     return per.select(*GROUP, "num_sites", s.cast("long").alias("s"))
 
 
+def _pairs(rows: DataFrame, first: dict[str, str], second: dict[str, str], block: Column) -> DataFrame:
+    """Pairs within a window and population: the second's rows are dealt over blocks, to which the first's are copied."""
+    a = rows.select(*GROUP, "n", *[F.col(k).alias(v) for k, v in first.items()], F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    b = rows.select(*GROUP, *[F.col(k).alias(v) for k, v in second.items()], F.pmod(block, F.lit(BLOCKS)).cast("int").alias("block"))
+    return a.join(b, [*GROUP, "block"])
+
+
+def _ratio() -> tuple[Column, Column]:
+    """r2 as a fraction of whole numbers."""
+    x0, x1, n = map(F.col, ("x0", "x1", "n"))
+    cov = x0 * x1 - n * G.bits(F.col("m0").bitwiseAND(F.col("m1")))
+    return cov * cov, (n - x0) * x0 * (n - x1) * x1
+
+
 def r_squared(rows: DataFrame) -> DataFrame:
     """r2 of each pair i < j of a window and population's SNPs."""
-    a = rows.select(*GROUP, F.col("k").alias("i"), F.col("mask").alias("m0"), F.col("x").alias("x0"), "n")
-    b = rows.select(*GROUP, F.col("k").alias("j"), F.col("mask").alias("m1"), F.col("x").alias("x1"))
-    x0, x1, n = (F.col(c).cast("double") for c in ("x0", "x1", "n"))
-    cov = x0 * x1 - n * G.bits(F.col("m0").bitwiseAND(F.col("m1"))).cast("double")
-    return a.join(b, GROUP).where("i < j").select(*GROUP, "i", "j", F.try_divide(cov * cov, (n - x0) * x0 * (n - x1) * x1).alias("r2"))
+    pairs = _pairs(rows, {"k": "i", "mask": "m0", "x": "x0"}, {"k": "j", "mask": "m1", "x": "x1"}, F.col("k")).where("i < j")
+    num, den = _ratio()
+    return pairs.select(*GROUP, "i", "j", F.try_divide(num.cast("double"), den.cast("double")).alias("r2"))
 
 
 def _shown(per: DataFrame, spine: DataFrame, pops: list[S.Pop], p: Params, values: list[str]) -> DataFrame:
@@ -67,7 +82,11 @@ def _shown(per: DataFrame, spine: DataFrame, pops: list[S.Pop], p: Params, value
 
 def zns(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
     """Kelly's ZnS: the mean of r squared."""
-    total = r_squared(snps(found, pops, p)).groupBy(*GROUP).agg(F.sum("r2").alias("total"))
+    few = snps(found, pops, p).groupBy(*GROUP, "mask", "x", "n").agg(F.count("*").alias("c"))
+    pairs = _pairs(few, {"mask": "m0", "x": "x0", "c": "c0"}, {"mask": "m1", "x": "x1", "c": "c1"}, F.xxhash64("mask")).where("m0 <= m1")
+    times = F.when(F.col("m0") == F.col("m1"), F.expr("c0 * (c0 - 1) div 2")).otherwise(F.col("c0") * F.col("c1"))
+    num, den = _ratio()
+    total = ratio_sums(pairs.where(den > 0), GROUP, num.cast("decimal(20,0)") * times, den)
     per = counted(found, pops, p).join(total, GROUP, "left")
     per = per.select(*GROUP, "s", "num_sites", F.try_divide(F.lit(2.0) * F.col("total"), (F.col("s") * (F.col("s") - 1)).cast("double")).alias("zns"))
     return _shown(per, spine, pops, p, ["zns"])
@@ -78,13 +97,18 @@ def omega_of(mask: np.ndarray, x: np.ndarray, n: int, cumulative: bool = False)
     s = len(mask)
     if s < 4:
         return None
-    both = np.bitwise_count((mask[:, None] & mask[None, :]).view(np.uint64)).astype(float)
     xs = x.astype(float)
-    r2 = (xs[:, None] * xs[None, :] - n * both) ** 2 / ((n - xs) * xs)[:, None] / ((n - xs) * xs)[None, :]
-    r2 = np.triu(r2, 1)
-    inside = np.concatenate(([0.0], np.cumsum(r2.sum(0))))  # pairs with both among the first l
-    after = np.concatenate((np.cumsum(r2.sum(1)[::-1])[::-1], [0.0]))  # pairs from l on
-    total, best = r2.sum(), None
+    spread = (n - xs) * xs
+    before, behind = np.zeros(s), np.zeros(s)  # each SNP's sum with those in front of it, and behind it
+    for a in range(0, s, step := max(1, PAIRS // s)):
+        own = slice(a, a + step)
+        both = np.bitwise_count((mask[own, None] & mask[None, a:]).view(np.uint64)).astype(float)
+        r2 = np.triu((xs[own, None] * xs[None, a:] - n * both) ** 2 / spread[own, None] / spread[None, a:], 1)
+        behind[own] = r2.sum(1)
+        before[a:] += r2.sum(0)
+    inside = np.concatenate(([0.0], np.cumsum(before)))  # pairs with both among the first l
+    after = np.concatenate((np.cumsum(behind[::-1])[::-1], [0.0]))  # pairs from l on
+    total, best = before.sum(), None
     left_sum = right_sum = between_sum = 0.0
     for left in range(2, s if cumulative else s - 1):
         a, b = inside[left], after[left]

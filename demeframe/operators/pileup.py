@@ -66,16 +66,22 @@ def explode_bases(reads: DataFrame) -> DataFrame:
     return spans.withColumn("pos", F.col("block.r") + F.col("i")).withColumn("qpos", F.col("block.q") + F.col("i")).drop("block", "i")
 
 
-def to_pileup(reads: DataFrame, read_groups: DataFrame, p: Params) -> DataFrame:
+def to_pileup(reads: DataFrame, read_groups: DataFrame | None, p: Params) -> DataFrame:
     """chrom, pos, sample_id, base, baseq, mapq, strand, ord from reads.
 
     Reads without a read group are left out; an unknown one is an error.
-    ``read_groups`` (rg, sample_id) has a row for each @RG line of a header.
+    ``read_groups`` (rg, sample_id) has a row for each @RG line of a header.  None stands for a
+    header without such lines: all reads are of sample 0 (as the established tool has it, those with a group).
     """
-    used = reads.where((F.col("flag").bitwiseAND(p.exclude_flags | 4) == 0) & F.col("read_group").isNotNull())
-    used = used.join(F.broadcast(read_groups.select(F.col("rg").alias("read_group"), "sample_id")), "read_group", "left")
-    unknown = F.raise_error(F.concat(F.lit("no sample for read group "), F.col("read_group"))).cast("int")
-    used = used.withColumn("sample_id", F.coalesce("sample_id", unknown))
+    used = reads.where(F.col("flag").bitwiseAND(p.exclude_flags | 4) == 0)
+    if read_groups is not None or p.reference:
+        used = used.where(F.col("read_group").isNotNull())
+    if read_groups is None:
+        used = used.withColumn("sample_id", F.lit(0))
+    else:
+        used = used.join(F.broadcast(read_groups.select(F.col("rg").alias("read_group"), "sample_id")), "read_group", "left")
+        unknown = F.raise_error(F.concat(F.lit("no sample for read group "), F.col("read_group"))).cast("int")
+        used = used.withColumn("sample_id", F.coalesce("sample_id", unknown))
     bases = explode_bases(used)
     return bases.select(
         "chrom",

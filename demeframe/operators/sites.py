@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.genomics import MOST_SAMPLES, bit, bits
@@ -39,6 +39,19 @@ def sample_table(read_groups: DataFrame) -> DataFrame:
     return named.join(F.broadcast(samples), "sample").join(F.broadcast(pops), "pop", "left").select("sample_id", "sample", "pop_id", "pop", "rg")
 
 
+def single_sample(spark: SparkSession, name: str) -> DataFrame:
+    """The table of samples where a header has no @RG line: one sample and one population, named after the file."""
+    return spark.createDataFrame([(0, name, 0, name, None)], "sample_id int, sample string, pop_id int, pop string, rg string")
+
+
+def population_of(pops: list[Pop], sample: int) -> Pop:
+    """The population that a sample (as the outgroup) belongs to."""
+    found = [x for x in pops if sample in x.samples]
+    if not found:
+        raise ValueError(f"sample {sample} is in no population")
+    return found[0]
+
+
 def assign_pops(samples: DataFrame) -> list[Pop]:
     """The populations with their bit sets; fails if a sample has none, or more than one.
 
@@ -122,6 +135,18 @@ def all_pass(found: DataFrame, pops: list[Pop]) -> DataFrame:
     return found.where(F.col("cov_mask").bitwiseAND(F.lit(every).cast("long")) == F.lit(every).cast("long"))
 
 
+def infinite_sites(calls: DataFrame, p: Params) -> DataFrame:
+    """Without the calls of positions whose samples that pass have more than two alleles, if asked for.
+
+    Under the infinite sites model a position changes once; by default all are kept.
+    """
+    if not p.infinite_sites:
+        return calls
+    alleles = F.explode(F.array("a1", "a2")).alias("allele")
+    many = calls.where("pass").select("chrom", "pos", alleles).distinct().groupBy("chrom", "pos").agg(F.count("*").alias("alleles")).where("alleles > 2")
+    return calls.join(many.select("chrom", "pos"), ["chrom", "pos"], "left_anti")
+
+
 def polarise(f: Column, n: Column, outgroup_derived: Column) -> Column:
     """Counts the other allele where the outgroup has the derived one."""
     return F.when(outgroup_derived, n - f).otherwise(f)

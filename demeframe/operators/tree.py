@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genomics as G
@@ -85,6 +86,22 @@ def newick(links: list[list[tuple[int, float]]], names: list[str]) -> str:
     return f"({names[0]}:{max(0.0, length):.5f},{','.join(f'{text(k, root)}:{max(0.0, x):.5f}' for k, x in links[root] if k != 0)});"
 
 
+def register_sql(spark: SparkSession) -> None:
+    """nj_newick(names, distances) as a SQL function: the tree of a small matrix given row by row, null where a distance is."""
+
+    @F.pandas_udf("string")
+    def nj_newick(names: pd.Series, distances: pd.Series) -> pd.Series:
+        def one(taxa, d) -> str | None:
+            if taxa is None or d is None or len(d) != len(taxa) ** 2 or len(taxa) < 3:
+                return None
+            d = np.array(d, float).reshape(len(taxa), -1)
+            return None if np.isnan(d).any() else newick(neighbour_joining(d), list(taxa))
+
+        return pd.Series([one(a, b) for a, b in zip(names, distances, strict=True)])
+
+    spark.udf.register("nj_newick", nj_newick)
+
+
 def trees(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params, names: list[str]) -> DataFrame:
     """num_sites and the tree of each window; ``names`` starts with the reference's.
 

@@ -30,6 +30,7 @@ class Params:
     no_singletons: bool = False
     substitutions_only: bool = False
     variable_only: bool = False
+    infinite_sites: bool = False  # only positions with two alleles at most
     exclude_flags: int = 4
     compat: str = DOCUMENTED
 

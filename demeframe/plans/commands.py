@@ -40,11 +40,16 @@ class Prepared:
             raise ValueError(f"no sample {self.params.outgroup!r}")
         return self.names.index(self.params.outgroup)
 
+    @property
+    def outgroup_pop(self) -> S.Pop | None:
+        """The outgroup's population."""
+        return None if self.outgroup is None else S.population_of(self.pops, self.outgroup)
+
 
 def prepare(spark: SparkSession, pileup: DataFrame, ref_bases: DataFrame, pops: list[S.Pop], names: list[str], region: Region, p: Params) -> Prepared:
     inside = with_window(pileup, region, p).drop("win_id")
     called = C.classify(C.call(inside, p), ref_bases, p)
-    called = with_window(called, region, p)
+    called = S.infinite_sites(with_window(called, region, p), p)
     return Prepared(called, S.sites(called), spine(spark, region, p), pops, names, region, p)
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 100_000
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, beg and a line's bases, for each line of a FASTA file."""
+    return chunks(spark.read.text(path))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, beg and a line's bases, for each line of a FASTA file.
+def chunks(text: DataFrame) -> DataFrame:
+    """The same from the file's lines (``value``), in the order of the table.
 
     Lines get their places from sums of lengths: within parts of the file first,
     then over the parts' totals, so no task holds a contig.
     """
-    text = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    text = text.select("value").withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
     rows = text.select("part", "id", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)).alias("name"), F.when(F.col("value").startswith(">"), F.lit("")).otherwise(F.trim("value")).alias("bases"))
     w = Window.partitionBy("part").orderBy("id")
     rows = rows.withColumns({"own": F.last("name", True).over(w), "head": F.max(F.when(F.col("name").isNotNull(), F.col("id"))).over(w)})

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 #: Required and optional tags of each line type, and the tag that names a line.
 REQUIRED = {"HD": ("VN",), "SQ": ("SN", "LN"), "RG": ("ID", "SM"), "PG": ("ID",), "CO": ()}
-OPTIONAL = {"HD": ("SO", "GO"), "SQ": ("AS", "M5", "UR", "SP"), "RG": ("PO", "LB", "DS", "PU", "PI", "CN", "DT", "PL"), "PG": ("VN", "CL", "PN", "PP"), "CO": ()}
+OPTIONAL = {"HD": ("SO", "GO"), "SQ": ("AS", "M5", "UR", "SP"), "RG": ("CN", "DS", "DT", "FO", "KS", "LB", "PG", "PI", "PL", "PO", "PU"), "PG": ("VN", "CL", "PN", "PP"), "CO": ()}
 UNIQUE = {"SQ": "SN", "RG": "ID", "PG": "ID"}
 
 LINES = "line int, type string, tags map<string,string>, comment string"
