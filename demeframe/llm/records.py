@@ -6,7 +6,8 @@ i64 stands for null) and the ids, as u16 where the vocabulary allows and else
 u32.  Index, one entry a record: doc_id (i64), offset (u64), number of ids (u64),
 so a reader can fetch records in any order.
 
-Texts are range-partitioned by doc_id and sorted; then each task encodes its
+Texts are range-partitioned by doc_id and place in the table and sorted, so that rows
+with one doc_id may take several ranges; then each task encodes its
 range and writes one file pair.  File names carry the task attempt, and only the
 pairs of attempts that succeeded are listed, so retries and lost executors leave
 at most unlisted files.  The list has one row a file; positions in front of each
@@ -15,12 +16,13 @@ pyarrow's file systems, so it need not be a mounted one.
 
 Defined results.  Null text counts as empty.  The text of a special token is that
 token, as in the library's plain call.  Rows that repeat a doc_id are all
-written, ordered by text; null ids come first.  An empty table writes no file.
+written, in the order of the table; null ids come first.  An empty table writes no file.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,9 +31,9 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 from .crc32c import crc32c, masked
@@ -39,112 +41,211 @@ from .crc32c import crc32c, masked
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
-#: Units that a worker remembers, about 250 bytes each; marks that are split off a word.
-REMEMBERED, MARKS = 1_400_000, ".,;:!?"
+#: Slots of the table of units that a worker remembers (32 bytes each), the most of them in use, and the most ids kept for them.
+SLOTS, FULL, KEPT_IDS = 1 << 22, 0.6, 1 << 25
+#: Longer units aren't remembered; a key has a unit's bytes and its length.
+LONGEST = 23
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 FILES = "part int, records string, index string, n_records long, n_tokens long, width int"
 
 
+_WHITE, _ALNUM, _MARK, _SOLID, _HIGH = 1, 2, 3, 4, 5
+
+
+def _class_of(b: int) -> int:
+    c = chr(b)
+    if b in (9, 10, 11, 12, 13, 32):
+        return _WHITE
+    if b >= 128:
+        return _HIGH
+    return _ALNUM if c.isalnum() else _MARK if c in ".,;:!?" else _SOLID if 33 <= b <= 126 else 0
+
+
+CLASS_TABLE = np.array([_class_of(b) for b in range(256)], np.uint8)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def unit_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a pre-token starts at each byte for certain, whatever stands around it.
+
+    It does where white space follows anything else, and where a mark follows an ASCII
+    letter or digit.  Behind characters that share their first bytes with white space beyond ASCII nothing is certain.
+    """
+    kind = CLASS_TABLE[data]
+    out = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    out[1:] = (here == _WHITE) & (before >= _ALNUM) | (here == _MARK) & (before == _ALNUM)
+    at = np.flatnonzero((here == _WHITE) & (before == _HIGH)) + 1
+    lead, middle = data[np.maximum(at - 3, 0)], data[np.maximum(at - 2, 0)]
+    doubt = (middle == 0xC2) | np.isin(lead, (0xE1, 0xE2, 0xE3)) & np.isin(middle, (0x80, 0x81, 0x9A))
+    out[at[doubt]] = False
+    return out
+
+
+class UnitTable:
+    """Ids of byte strings of 1 to LONGEST bytes: an open-addressed table in arrays, asked for many at once, exact.
+
+    A slot has the string's bytes and length in three words, and in a fourth where its ids start and how many there are.
+    """
+
+    def __init__(self, kind: np.dtype, slots: int = SLOTS) -> None:
+        self.kind, self.least = kind, slots
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = self.least
+        self.rows = np.zeros((self.slots, 4), np.uint64)
+        self.ids = np.empty(1 << 16, self.kind)
+        self.used = self.n_ids = 0
+
+    def add_ids(self, ids: np.ndarray) -> int:
+        """Where they stand from now on."""
+        at = self.n_ids
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(max(len(self.ids), len(ids)), self.kind)))
+        self.ids[at : at + len(ids)] = ids
+        self.n_ids += len(ids)
+        return at
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (keys[:, 0] ^ keys[:, 1] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 2] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The fourth words of the strings, and which are not here."""
+        at, mine, left = self.slot(keys), keys, np.arange(len(keys))
+        out, lost = np.zeros(len(keys), np.uint64), [np.empty(0, np.int64)]
+        while len(left):
+            rows = self.rows.take(at, 0)
+            hit = (rows[:, 0] == mine[:, 0]) & (rows[:, 1] == mine[:, 1]) & (rows[:, 2] == mine[:, 2])
+            out[left] = rows[:, 3] * hit
+            other = np.flatnonzero(~hit)
+            free = rows[other, 2] == 0
+            lost.append(left[other[free]])
+            other = other[~free]
+            at, mine, left = (at[other] + 1) & (self.slots - 1), mine[other], left[other]
+        return out, np.concatenate(lost)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct strings that aren't here; a text with more of them than the table has room for makes it wider."""
+        if self.used + len(keys) > 0.9 * self.slots:
+            old = self.rows[self.rows[:, 2] > 0]
+            while self.used + len(keys) > FULL * self.slots:
+                self.slots *= 2
+            self.rows, self.used = np.zeros((self.slots, 4), np.uint64), 0
+            self.add(old[:, :3], old[:, 3])
+        at, left = self.slot(keys), np.arange(len(keys))
+        self.used += len(keys)
+        while len(left):
+            free = left[self.rows[at[left], 2] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            now = free[first]
+            self.rows[at[now], :3], self.rows[at[now], 3] = keys[now], values[now]
+            left = np.setdiff1d(left, now, assume_unique=True)
+            at[left] = (at[left] + 1) & (self.slots - 1)
+
+
 class UnitTokenizer:
-    """Ids as packed bytes; remembers those of units between single spaces or line breaks.
+    """Ids of texts, as packed bytes, from the library's ids of the texts' units.
 
-    A pre-token starts at each space or line break between two characters that
-    are no white space, so a text of such units is the units' ids in a row.  A text
-    where white space stands beside them is encoded whole, and so is one with an added
-    token's text, which the library makes that token wherever it stands.
+    A text is cut where pre-tokens start for certain (:func:`unit_starts`), so its ids are
+    those of its units in a row; the library is called for units that the worker doesn't
+    remember.  A text with an added token's text, which the library makes that token wherever it stands, is
+    encoded whole, and so is every text where the tokenizer splits texts by another rule.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, slots: int = SLOTS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        split = rules["pre_tokenizer"] or {}
+        self.in_units = rules["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not any(a.split() != [a] for a in self.added)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         #: Bytes of each token: its name has a character a byte.
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self.known: dict[str, bytes | None] = {}
-        self.tails: dict[str, bytes] = {}
+        self.table = UnitTable(self.kind, slots if self.in_units else 1)
 
-    def _joined(self, units: list[str], together: int = 64) -> list[bytes]:
-        """Ids of units that start pre-tokens wherever they stand: encoded many in one text, and parted by their bytes."""
-        texts = ["".join(units[i : i + together]) for i in range(0, len(units), together)]
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
-        ends = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
-        stops = np.cumsum(self.sizes[flat])
-        at = np.searchsorted(stops, ends)
-        if len(units) and (stops[at] != ends).any():
-            raise ValueError("a token crosses the end of a unit")
-        data = flat.astype(self.kind).tobytes()
-        cut = ((at + 1) * self.kind.itemsize).tolist()
-        return [data[i:j] for i, j in zip([0, *cut], cut, strict=False)]
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        data = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(sizes.sum())).tobytes()
-        ends = (np.cumsum(sizes) * self.kind.itemsize).tolist()
-        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Remembers units; a mark behind a letter or digit starts a pre-token, so words are encoded without their marks."""
-        cores, known = {}, self.known
-        for u in units:
-            if not u or u[0].isspace() and (u[0] != "\n" or u[1:2].isspace()) or u[-1].isspace():
-                known[u] = None
-                continue
-            core = u.rstrip(MARKS)
-            if core != u and core and core[-1].isalnum():
-                cores[u] = core
-            elif u not in known:
-                cores[u] = u
-        new = list(set(cores.values()) - known.keys())
-        known.update(zip(new, self._joined([c if c[0] == "\n" else " " + c for c in new]), strict=True))
-        tails = list({u[len(c) :] for u, c in cores.items()} - self.tails.keys())
-        self.tails.update(zip(tails, self._packed(tails), strict=True))
-        for u, c in cores.items():
-            if u is not c:
-                known[u] = known[c] + self.tails[u[len(c) :]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.tails) > REMEMBERED:
-            self.tails.clear()
-        # a line break becomes a unit's first character, and such a unit has no space in front
-        added = [any(a in t for a in self.added) for t in texts]
-        split = [[""] if a else t.replace("\n", " \n").split(" ") for t, a in zip(texts, added, strict=True)]
-        heads = self._packed([x.pop(0) for x in split])
-        # distinct units of these texts first, so that the large table is asked once for each
-        here = dict.fromkeys(itertools.chain.from_iterable(split))
-        self._learn(here.keys() - self.known.keys())
-        packed = list(map(self.known.__getitem__, here))
-        here.update(zip(here, range(len(here)), strict=True))
-        sizes = np.array(list(map(len, split)), np.int64)
-        which = np.fromiter(map(here.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        whole = np.fromiter((x is None for x in packed), bool, len(packed))
-        data = np.frombuffer(b"".join(x for x in packed if x is not None), self.kind)
-        length = np.fromiter((len(x or b"") // self.kind.itemsize for x in packed), np.int64, len(packed))
-        start = np.cumsum(length) - length
-        n = length[which]
-        end = np.cumsum(n)
-        ids = data[np.arange(end[-1] if len(end) else 0) - np.repeat(end - n - start[which], n)]
-        stop = np.cumsum(sizes)
-        bad = np.concatenate(([0], np.cumsum(whole[which])))[np.concatenate(([0], stop))]
-        cut = np.concatenate(([0], end))[np.concatenate(([0], stop))].tolist()
-        out: list[bytes | None] = []
-        for i, (text, head) in enumerate(zip(texts, heads, strict=True)):
-            if added[i] or bad[i + 1] > bad[i] or sizes[i] and text[0].isspace() and text[0] != "\n":
-                out.append(None)
-            else:
-                out.append(head + ids[cut[i] : cut[i + 1]].tobytes())
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._packed([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(many.sum())), many
+
+    def _joined(self, units: list[bytes], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that start with white space and end with something else: encoded many in one text, and parted by their bytes."""
+        flat, _ = self._flat([b"".join(units[i : i + together]).decode() for i in range(0, len(units), together)])
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        return flat, np.diff(np.searchsorted(np.cumsum(self.sizes[flat]), ends) + 1, prepend=0)
+
+    def _learn(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps the ids of distinct units; where they start, and how many they are."""
+        ends = starts + sizes
+        raw = np.frombuffer(data, np.uint8)
+        joins = (CLASS_TABLE[raw[starts]] == _WHITE) & (raw[ends - 1] >= 33) & (raw[ends - 1] <= 126)
+        place, many = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        for which, own in ((np.flatnonzero(joins), True), (np.flatnonzero(~joins), False)):
+            units = [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            ids, n = self._joined(units) if own else self._flat([u.decode() for u in units])
+            many[which], place[which] = n, self.table.add_ids(ids) + np.cumsum(n) - n
+        return place, many
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        texts = [t if t.isascii() else t.decode("utf-8", "replace").encode() for t in texts]
+        whole = [k for k, t in enumerate(texts) if not self.in_units or any(a in t for a in self.added)]
+        flat, many = self._flat([texts[k].decode() for k in whole])
+        apart = dict(zip(whole, np.split(flat, np.cumsum(many)[:-1]), strict=True)) if whole else {}
+        if self.table.used > FULL * self.table.slots or self.table.n_ids > KEPT_IDS:
+            self.table.clear()
+        length = np.array([0 if k in apart else len(t) for k, t in enumerate(texts)], np.int64)
+        begin = np.cumsum(length) - length
+        raw = b"".join(t for k, t in enumerate(texts) if k not in apart)
+        data = np.frombuffer(raw + bytes(LONGEST + 1), np.uint8)
+        cut = unit_starts(data[: len(raw)])
+        cut[begin[length > 0]] = True
+        starts = np.flatnonzero(cut)
+        at, many = self._units(raw, data, starts, np.diff(starts, append=len(raw)))
+        end = np.cumsum(many)
+        ids = self.table.ids[np.repeat(at - end + many, many) + np.arange(int(many.sum()))]
+        edges = np.searchsorted(starts, np.append(begin, len(raw)))
+        stop = np.concatenate(([0], end))[edges].tolist()
+        return [apart[k].tobytes() if k in apart else ids[i:j].tobytes() for k, (i, j) in enumerate(itertools.pairwise(stop))]
+
+    def _units(self, raw: bytes, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit, where its ids start and how many they are."""
+        at, many = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= LONGEST)
+        n, s = sizes[short], starts[short]
+        words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        keys = np.empty((len(short), 3), np.uint64)
+        for k in range(3):
+            keys[:, k] = words[np.minimum(s + 8 * k, len(words) - 1)] & _LOW_BYTES[np.clip(n - 8 * k, 0, 8)] if (n > 8 * k).any() else 0
+        keys[:, 2] |= n.astype(np.uint64) << np.uint64(56)
+        while True:
+            values, lost = self.table.find(keys)
+            if not len(lost):
+                break
+            # one of each home slot; those that share it with another string come next time
+            _, first = np.unique(self.table.slot(keys[lost]), return_index=True)
+            new = lost[first]
+            place, size = self._learn(raw, s[new], n[new])
+            self.table.add(keys[new], place.astype(np.uint64) << np.uint64(16) | size.astype(np.uint64))
+        at[short], many[short] = (values >> np.uint64(16)).astype(np.int64), (values & np.uint64(0xFFFF)).astype(np.int64)
+        long = np.flatnonzero(sizes > LONGEST)
+        if len(long):
+            kinds: dict[bytes, int] = {}
+            which = [kinds.setdefault(raw[a : a + m], len(kinds)) for a, m in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+            ids, size = self._flat([u.decode() for u in kinds])
+            place = self.table.add_ids(ids) + np.cumsum(size) - size
+            at[long], many[long] = place[which], size[which]
+        return at, many
 
 
 @lru_cache(2)
@@ -179,15 +280,11 @@ def unframe(data: bytes, starts: np.ndarray) -> list[bytes]:
     return payloads
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def _writer(folder: str, path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
-        store, at = _store(folder)
+        store, at = common.store(folder)
         name = f"part-{part:06d}-{task.taskAttemptId()}"
         files = None
         offset = records = tokens = 0
@@ -200,7 +297,7 @@ def _writer(folder: str, path: str | None) -> Callable[[Iterator[pa.RecordBatch]
                 files = (store.open_output_stream(f"{at}/{name}.rec"), store.open_output_stream(f"{at}/{name}.idx"))
             width = units.kind.itemsize
             end = np.array([END_ID], units.kind).tobytes()
-            ids = [x + end for x in units.encode([(t or b"").decode("utf-8", "replace") for t in table.column("text").to_pylist()])]
+            ids = [x + end for x in units.encode([t or b"" for t in table.column("text").to_pylist()])]
             names = [NO_ID if d is None else d for d in table.column("doc_id").to_pylist()]
             data, starts = frame([d.to_bytes(8, "little", signed=True) + x for d, x in zip(names, ids, strict=True)])
             entries = np.empty(len(ids), INDEX)
@@ -224,9 +321,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str | None = Non
     """Writes all documents in order of doc_id; returns the list of files with ``start``, the ids in front of each."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
-    store, at = _store(folder)
+    store, at = common.store(folder)
     store.create_dir(at, recursive=True)
-    dealt = common.doc_bytes(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = common.doc_bytes(docs, F.monotonically_increasing_id().alias("place")).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     # one row a file: computed once, here, as its side effect is the files
     files = sorted(dealt.mapInArrow(_writer(folder, tokenizer_path), FILES).collect())
     start = itertools.accumulate((r["n_tokens"] for r in files), initial=0)
@@ -234,7 +331,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str | None = Non
 
 
 def read_index(row: dict) -> np.ndarray:
-    store, at = _store(row["index"])
+    store, at = common.store(row["index"])
     with store.open_input_stream(at) as f:
         return np.frombuffer(f.read(), INDEX)
 
@@ -251,7 +348,7 @@ def read_records(files: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
             count = index["n_tokens"].astype(np.int64)
             start = np.cumsum(count) - count + row["start"]
             ends = np.append(index["offset"][1:], index["offset"][-1] + np.uint64(24 + row["width"] * int(count[-1]))).astype(np.int64)
-            store, at = _store(row["records"])
+            store, at = common.store(row["records"])
             kind = f"<u{row['width']}"
             with store.open_input_file(at) as f:
                 i = 0
