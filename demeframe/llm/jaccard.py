@@ -13,10 +13,14 @@ Documents with equal shingle sets form one class; classes are searched.
 3. Each component is searched in one task: inverted lists over its sets; for each
    query the L longest lists are set aside, the short ones are heap-merged,
    and candidates found often enough are probed in the long ones by binary search.
-   Documents close to a first pivot need no search among themselves.
-   Components beyond GROUP sets are cut by size band and hash into chunks, and
-   each pair of chunks that can hold a link is one task: exact at any size.
-4. Links join classes to components (:mod:`.components`).
+   L is the number that makes merged entries and expected probes cheapest together.
+   A component beyond GROUP sets is searched by its ties (the sets that share one, for
+   each of them) if these make fewer pairs than the component has, and what is still beyond GROUP
+   is cut by size band and hash into chunks, each pair of chunks that can hold a link
+   one task.  Each pair is looked at in one task only, or counted in one: exact at any size.
+4. A task tells each class how many documents it found linked, and the least class that it
+   reaches there, so a group's output is as long as the group; these edges join classes to
+   components (:mod:`.components`).
 
 Hot keys.  Equal documents collapse in the task that reads them.  A shingle that
 HOT classes of one batch share isn't sent with its classes: one marker says that
@@ -28,7 +32,8 @@ if these collide.
 
 Defined results.  Null, empty or blank texts have no shingles and are linked with
 nothing.  A row without doc_id has no identity: it is linked with nothing and its
-component is null.  Repeated rows give one result each.
+component is null.  Repeated rows give one result each, and are linked with each other;
+``n_links`` counts rows.
 """
 
 from __future__ import annotations
@@ -57,8 +62,8 @@ SHARD, HOT, HOT_RANK = 700_000, 64, 2**31
 GROUP, GROUP_SHINGLES = 3_000, 3_000_000
 #: Owner of a token without a class.
 NONE = 65535
-#: DivideSkip's weight of a merged list against a probed one.
-MU = 0.0085
+#: Merged entries that one probe costs; ids that the merge takes at once.
+PROBE, RANGE = 25, 1 << 12
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -228,98 +233,144 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"token": pa.array(tokens[keep].view(np.int64)), "cls": pa.array(classes[keep])})
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
-def links_in_group(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a group (a forest of its links)."""
-    m = len(sets)
-    if m < 2:
-        return []
-    n = np.array([len(s) for s in sets])
-    root, found = np.arange(m), []
-
-    def union(i: int, j: int) -> None:
-        a, b = root[i], root[j]
-        if a != b:
-            root[root == max(a, b)] = min(a, b)
-            found.append((i, j))
-
-    linked = lambda over, i, j: 100 * over >= PERCENT * (n[i] + n[j] - over)
-    pivot = int(np.argsort(n, kind="stable")[m // 2])
-    for i in range(m):
-        if i != pivot and 100 * min(n[i], n[pivot]) >= PERCENT * max(n[i], n[pivot]) and linked(_overlap(sets[pivot], sets[i]), pivot, i):
-            union(pivot, i)
-    star = root == root[pivot]
-    if star.all():
-        return found
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(m, dtype=np.int32), n)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    kinds, first, size = np.unique(tokens, return_index=True, return_counts=True)
-    for q in np.flatnonzero(~star).tolist() if star.sum() > 1 else range(m):
-        need = least_overlap(int(n[q]))
-        at = np.searchsorted(kinds, sets[q])
-        at = at[size[at] > 1]  # a list of one has the query alone
-        if len(at) < need:
-            continue
-        at = at[np.argsort(size[at], kind="stable")]
-        longest = int(size[at[-1]])
-        aside = min(need - 1, int(need / (MU * np.log2(longest) + 1)), len(at))
-        lists = [owner[first[k] : first[k] + size[k]] for k in at.tolist()]
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        who, count = _merged(short)
-        keep = (count >= need - aside) & (root[who] != root[q]) & (100 * np.minimum(n[who], n[q]) >= PERCENT * np.maximum(n[who], n[q]))
+class Group:
+    """Sets and their inverted lists; answers which sets behind a set it is linked with.
+
+    With two sides only pairs across them count: the sets of side 0 come first, and those of side 1 are behind each of
+    them.  Else sets come in order of size, and all that follow a set are behind it.
+    """
+
+    def __init__(self, sets: list[np.ndarray], side: np.ndarray) -> None:
+        n = np.array([len(s) for s in sets], np.int64)
+        self.across = bool((side == 0).any())
+        self.order = np.lexsort((n, side)) if self.across else np.argsort(n, kind="stable")
+        self.n = n[self.order]
+        self.m = len(sets)
+        self.queries = int((side == 0).sum()) if self.across else self.m
+        tokens = np.concatenate([sets[k] for k in self.order])
+        owner = np.repeat(np.arange(self.m), self.n)
+        self.cut = np.concatenate(([0], np.cumsum(self.n)))
+        by_token = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[by_token], owner[by_token]
+        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+        kind = np.cumsum(new) - 1
+        #: (list, owner) as one number, in order.
+        self.keys = kind * self.m + self.owner
+        end = np.append(np.flatnonzero(new)[1:], len(tokens))
+        # each set's tokens: their lists, where what stands behind the set begins there, and where the list ends
+        place = np.empty(len(tokens), np.int64)
+        place[by_token] = np.arange(len(tokens))
+        self.kind, self.end = kind[place], end[kind[place]]
+        self.begin = np.searchsorted(self.keys, self.kind * self.m + self.queries) if self.across else place + 1
+
+    def linked(self, q: int) -> np.ndarray:
+        """The sets behind ``q`` that it is linked with."""
+        own = slice(self.cut[q], self.cut[q + 1])
+        begin, size, kind = self.begin[own], self.end[own] - self.begin[own], self.kind[own]
+        need = least_overlap(int(self.n[q]))
+        by_size = np.argsort(size, kind="stable")
+        by_size = by_size[np.searchsorted(size[by_size], 1) :]
+        if len(by_size) < need:
+            return np.empty(0, np.int64)
+        begin, size, kind = begin[by_size], size[by_size], kind[by_size]
+        aside = np.arange(min(need, len(size)))
+        merged = np.cumsum(size)[len(size) - 1 - aside]
+        aside = int(np.argmin(merged + merged / (need - aside) * aside * PROBE))
+        short = len(size) - aside
+        who, count = merge([self.owner[b : b + n] for b, n in zip(begin[:short].tolist(), size[:short].tolist(), strict=True)])
+        # linked sets differ in size by a share of the larger one at most
+        keep = (count >= need - aside) & (100 * np.minimum(self.n[who], self.n[q]) >= PERCENT * np.maximum(self.n[who], self.n[q]))
         who, count = who[keep], count[keep]
-        for left, x in zip(range(len(long) - 1, -1, -1), long, strict=True):
-            if not len(who):
-                break
-            place = np.minimum(np.searchsorted(x, who), len(x) - 1)
-            count = count + (x[place] == who)
-            keep = count + left >= need
+        left = kind[short:][::-1]
+        while len(left) and len(who):
+            part = left[: max(1, 200_000 // len(who))]
+            wanted = (part[:, None] * self.m + who[None, :]).ravel()
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            count = count + (self.keys[at] == wanted).reshape(len(part), -1).sum(0)
+            left = left[len(part) :]
+            keep = count + len(left) >= need
             who, count = who[keep], count[keep]
-        for i, over in zip(who.tolist(), count.tolist(), strict=True):
-            if linked(over, q, i):
-                union(q, i)
-    return found
+        return who[100 * count >= PERCENT * (self.n[who] + self.n[q] - count)]
 
 
-def _merged(lists: list[np.ndarray], by_heap: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of sorted lists in order, and in how many lists each is."""
-    total = sum(map(len, lists))
-    if total <= by_heap:
-        pairs = [(k, sum(1 for _ in g)) for k, g in itertools.groupby(heapq.merge(*(x.tolist() for x in lists)))]
-        return np.array([k for k, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64)
-    # the same merge over longer lists, by runs
-    merged = np.sort(np.concatenate(lists), kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-    return merged[new].astype(np.int64), np.diff(np.append(new, len(merged)))
+def merge(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of sorted lists in order, and in how many lists each is.
 
+    The heap has each list's next id; all lists with ids in the range of the least one are taken together.
+    """
+    heap = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
+    heapq.heapify(heap)
+    ids, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while heap:
+        base = heap[0][0]
+        here = []
+        while heap and heap[0][0] < base + RANGE:
+            _, k, i = heap[0]
+            x = lists[k]
+            j = len(x) if x[-1] < base + RANGE else int(np.searchsorted(x, base + RANGE))
+            here.append(x[i:j])
+            if j < len(x):
+                heapq.heapreplace(heap, (int(x[j]), k, j))
+            else:
+                heapq.heappop(heap)
+        found = np.bincount(np.concatenate(here) - base)
+        at = np.flatnonzero(found)
+        ids.append(at + base)
+        counts.append(found[at])
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def search(sets: list[np.ndarray], docs: np.ndarray, side: np.ndarray, own: Callable[[int, list[int]], list[bool]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, how many documents it is linked with in this group, and the least set that it reaches.
+
+    ``docs`` are the sets' documents; ``own`` says which of a set's links are counted here.
+    """
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    if len(sets) < 2 or len(np.unique(side)) < 2 and side[0] < 2:
+        return links, root
+    group = Group(sets, side)
+    for q in range(group.queries):
+        found = group.order[group.linked(q)]
+        if not len(found):
+            continue
+        me = group.order[q]
+        roots = np.unique(np.append(root[found], root[me]))
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+        if own:
+            found = found[own(int(me), found.tolist())]
+        links[me] += docs[found].sum()
+        links[found] += docs[me]
+    return links, root
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) of classes, from rows in order of group."""
-    held, sets = None, {}
-
-    def done() -> Iterator[pa.RecordBatch]:
-        names = sorted(sets)
-        pairs = links_in_group([sets[c] for c in names])
-        if pairs:
-            yield pa.record_batch({"u": pa.array([names[i] for i, _ in pairs], pa.int64()), "v": pa.array([names[j] for _, j in pairs], pa.int64())})
 
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, least, links) of the classes with links, from rows in order of group."""
+
+    def done(token: int | None, rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        names = sorted(rows)
+        sets, docs, side, ties = zip(*(rows[c] for c in names), strict=True)
+        own = None
+        if token is not None:
+            # links of sets that share several ties are counted with the least one
+            before = [frozenset(x for x in t if x < token) for t in ties]
+            own = lambda i, found: [before[i].isdisjoint(before[j]) for j in found]
+        links, root = search(list(sets), np.array(docs, np.int64), np.array(side), own)
+        kept = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
+        if len(kept):
+            of = np.array(names, np.int64)
+            yield pa.record_batch({"cls": pa.array(of[kept]), "least": pa.array(of[root[kept]]), "links": pa.array(links[kept])})
+
+    held, token, rows = None, None, {}
     for batch in batches:
-        for group, c, s in zip(batch.column("group").to_pylist(), batch.column("cls").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-            if group != held and held is not None:
-                yield from done()
-                sets = {}
-            held = group
-            sets[c] = np.frombuffer(s, np.uint64)
-    if held is not None:
-        yield from done()
+        for r in batch.to_pylist():
+            if r["group"] != held:
+                if rows:
+                    yield from done(token, rows)
+                held, token, rows = r["group"], r["token"], {}
+            rows[r["cls"]] = (np.frombuffer(r["shingles"], np.uint64), r["docs"], r["side"], r["ties"] or ())
+    if rows:
+        yield from done(token, rows)
 
 
 def _sets() -> Callable[[pa.Table], pa.Table]:
@@ -328,35 +379,62 @@ def _sets() -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table.column("text").to_pylist())
         same = [i for i, (s, c) in enumerate(zip(sets, table.column("cls").to_pylist(), strict=True)) if len(s) and class_id(s) == c]
-        kept = table.select(["cls", "groups"]).take(same)
+        kept = table.select(["cls", "docs", "ties", "groups"]).take(same)
         return kept.append_column("shingles", pa.array([sets[i].tobytes() for i in same], pa.binary()))
 
     return run
 
 
-def _groups(clusters: DataFrame) -> DataFrame:
-    """(cls, groups): the search tasks of each class.  ``clusters`` has cls, component and n."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    large = (F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES)
-    clusters = clusters.join(sizes, "component").withColumn("large", large)
-    small = clusters.where("not large").select("cls", F.array(F.col("component").cast("string")).alias("groups"))
+#: A search task that a class takes part in: its name, the tie that the task is for, and the class's side there (2: all pairs count).
+TASK = "struct<group:string,token:bigint,side:int>"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(cls, task) from (cls, unit, token, n): one task a unit, or a task for each pair of its chunks that can hold links."""
+    sizes = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    rows = rows.join(sizes, "unit").withColumn("large", (F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES))
+    task = lambda name, side: F.struct(name.alias("group"), F.col("token").alias("token"), F.lit(side).alias("side"))
+    small = rows.where("not large").select("cls", task(F.col("unit"), 2).alias("task"))
     # sets that link differ by a band of sizes at most
-    cut = clusters.where("large").withColumn("band", F.floor(F.ln("n") / float(np.log(100 / PERCENT))))
-    per = cut.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / (GROUP // 2), F.sum("n") / (GROUP_SHINGLES // 2))).alias("chunks"))
-    up = per.select("component", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above"))
-    down = per.select("component", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
-    cut = cut.join(per, ["component", "band"]).join(up, ["component", "band"], "left").join(down, ["component", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
-    name = lambda band, a, b: F.concat_ws(":", F.col("component").cast("string"), band.cast("string"), a.cast("string"), b.cast("string"))
-    none = F.array().cast("array<string>")
-    chunk, band = F.col("chunk"), F.col("band")
-    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda x: name(band, F.least(chunk, x), F.greatest(chunk, x)))
-    above = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda x: F.concat(F.lit("+"), name(band, chunk, x)))).otherwise(none)
-    below = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda x: F.concat(F.lit("+"), name(band - 1, x, chunk)))).otherwise(none)
-    return small.unionByName(cut.select("cls", F.concat(own, above, below).alias("groups")))
+    cut = rows.where("large").select("cls", "unit", "token", "n", F.floor(F.ln("n") / float(1.001 * np.log(100 / PERCENT))).alias("band"))
+    per = cut.groupBy("unit", "band").agg(F.ceil(F.greatest(F.count("*") / (GROUP // 2), F.sum("n") / (GROUP_SHINGLES // 2))).alias("chunks"))
+    up = per.select("unit", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above"))
+    down = per.select("unit", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
+    cut = cut.join(per, ["unit", "band"]).join(up, ["unit", "band"], "left").join(down, ["unit", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
+    name = lambda kind, band, a, b: F.concat_ws(":", F.col("unit"), F.lit(kind), band.cast("string"), a.cast("string"), b.cast("string"))
+    chunk, band, one = F.col("chunk"), F.col("band"), F.lit(1).cast("long")
+    # none where there is no such chunk
+    others = lambda least, most, make: F.when(F.coalesce(most, least - 1) >= least, F.transform(F.sequence(least, F.greatest(most, least)), make)).otherwise(F.array().cast(f"array<{TASK}>"))
+    tasks = F.concat(
+        F.array(task(name("=", band, chunk, chunk), 2)),
+        others(F.lit(0).cast("long"), chunk - one, lambda x: task(name("=", band, x, chunk), 1)),
+        others(chunk + one, F.col("chunks") - one, lambda x: task(name("=", band, chunk, x), 0)),
+        others(F.lit(0).cast("long"), F.col("above") - one, lambda x: task(name("+", band, chunk, x), 0)),
+        others(F.lit(0).cast("long"), F.col("below") - one, lambda x: task(name("+", band - one, x, chunk), 1)),
+    )
+    return small.unionByName(cut.select("cls", F.explode(tasks).alias("task")))
+
+
+def _groups(clusters: DataFrame, ties: DataFrame) -> DataFrame:
+    """(cls, groups, ties): the search tasks of each class.  ``clusters`` has cls, component and n; ``ties`` token and cls.
+
+    Large components are searched by their ties where these make fewer pairs.
+    """
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = sizes.where((F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES))
+    tied = ties.join(clusters.join(large, "component").select("cls", "n", "component", "sets"), "cls")
+    pairs = tied.groupBy("component", "sets", "token").agg(F.count("*").cast("double").alias("here")).groupBy("component", "sets").agg(F.sum(F.col("here") * F.col("here")).alias("pairs"))
+    by_tie = pairs.where("pairs < cast(sets as double) * sets").select("component")
+    whole = clusters.join(by_tie, "component", "left_anti").select("cls", F.col("component").cast("string").alias("unit"), F.lit(None).cast("long").alias("token"), "n")
+    parts = tied.join(by_tie, "component", "left_semi").select("cls", F.concat_ws("/", F.col("component").cast("string"), F.col("token").cast("string")).alias("unit"), "token", "n")
+    # a class's ties are a part of its shingles, its tasks a few, or as many as its ties and chunks are
+    own = parts.groupBy("cls").agg(F.collect_list("token").alias("ties"))
+    tasks = _dealt(whole.unionByName(parts)).groupBy("cls").agg(F.collect_list("task").alias("groups"))
+    return tasks.join(own, "cls", "left").select("cls", "groups", "ties")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (u, v) between classes that connect all linked ones."""
+    """(cls, least, links) of linked classes: by search task, the least class reached and the documents of linked classes."""
     spark = docs.sparkSession
     texts = common.doc_bytes(docs).where("doc_id is not null and text is not null")
     shingles = classes.agg(F.sum("n")).first()[0] or 0
@@ -368,24 +446,29 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     least = ties.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").drop("most")
     near = components(ties.join(least, "token").where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v")))
     # one document of each class to be searched, and its tasks
-    members = near.withColumnRenamed("id", "cls").join(classes.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "cls")
+    members = near.withColumnRenamed("id", "cls").join(classes.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("docs")), "cls")
     members = common.written(members, "jaccard-members")
-    wanted = members.join(_groups(members), "cls").select("doc_id", "cls", "groups")
-    sets = common.map_tables(texts.join(wanted, "doc_id").select("text", "cls", "groups"), _sets, "cls long, groups array<string>, shingles binary", 4 << 20)
-    dealt = sets.select("cls", "shingles", F.explode("groups").alias("group"))
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(common.tidy(_search), "u long, v long")
+    wanted = members.join(_groups(members, ties), "cls").select("doc_id", "cls", "docs", "ties", "groups")
+    sets = common.map_tables(texts.join(wanted, "doc_id").select("text", "cls", "docs", "ties", "groups"), _sets, f"cls long, docs long, ties array<long>, groups array<{TASK}>, shingles binary", 4 << 20)
+    dealt = sets.select("cls", "docs", "ties", "shingles", F.explode("groups").alias("task")).select("cls", "docs", "ties", "shingles", "task.*")
+    found = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(common.tidy(_search), "cls long, least long, links long")
+    return common.written(found, "jaccard-links")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id and n_links of every row."""
     common.arrow_limits(docs.sparkSession)
     classes = common.written(common.map_tables(common.doc_bytes(docs), _classes, "doc_id long, n long, cls long", 4 << 20), "jaccard-classes")
-    found = components(links(docs, classes)).withColumnsRenamed({"id": "cls", "component": "linked"})
-    named = classes.join(found, "cls", "left").select("doc_id", "n", F.coalesce("linked", "cls").alias("part"))
-    smallest = named.where("part is not null and doc_id is not null").groupBy("part").agg(F.min("doc_id").alias("smallest"))
-    whole = named.join(smallest, "part", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    found = links(docs, classes)
+    parts = components(found.where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v"))).withColumnsRenamed({"id": "cls", "component": "linked"})
+    # a row a class; only then do documents meet it
+    alike = classes.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.count("*").alias("alike"), F.min("doc_id").alias("first"))
+    each = alike.join(found.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left").join(parts, "cls", "left").withColumn("part", F.coalesce("linked", "cls"))
+    smallest = each.groupBy("part").agg(F.min("first").alias("smallest"))
+    each = each.join(smallest, "part").select("cls", "smallest", (F.col("alike") - 1 + F.coalesce("links", F.lit(0))).alias("near"))
+    whole = classes.join(each, "cls", "left")
+    known = F.col("doc_id").isNotNull()
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("smallest", "doc_id")).alias("component_id"), F.when(known, F.coalesce("near", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_links"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

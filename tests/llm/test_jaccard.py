@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from demeframe.llm import common, jaccard
@@ -20,12 +21,15 @@ def brute(rows):
             x = parent[x]
         return x
 
+    links = dict.fromkeys(parent, 0)
     for i, (a, s) in enumerate(sets):
         for b, t in sets[i + 1 :]:
             if s and t and 100 * len(s & t) >= 85 * len(s | t):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return sorted((d, len(s), find(d)) for d, s in sets)
+                links[a] += 1
+                links[b] += 1
+    return sorted((d, len(s), find(d), links[d]) for d, s in sets)
 
 
 def corpus(seed, size=160):
@@ -55,34 +59,58 @@ def test_components_match_brute_force(spark, make_docs, monkeypatch, seed, small
     assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == brute(rows)
 
 
-def test_divide_skip_finds_all_links():
+def some_sets(rng):
+    base = [rng.randrange(1 << 40) for _ in range(rng.choice([1, 5, 20, 100]))]
+    out = []
+    for _ in range(rng.choice([1, 2, 8, 50])):
+        s = set(base)
+        for _ in range(rng.randrange(1 + len(base) // 8)):
+            s.discard(rng.choice(base))
+            s.add(rng.randrange(1 << 40))
+        out.append(np.array(sorted(s), np.uint64))
+    return out
+
+
+@pytest.mark.parametrize("probe", [0.01, 25, 1e6])
+@pytest.mark.parametrize("span", [4, 1 << 12])
+def test_divide_skip_finds_all_links(monkeypatch, probe, span):
+    # with cheap probes all long lists are set aside, with dear ones none
+    monkeypatch.setattr(jaccard, "PROBE", probe)
+    monkeypatch.setattr(jaccard, "RANGE", span)
     rng = random.Random(9)
     for k in range(60):
-        base = [rng.randrange(1 << 40) for _ in range(rng.choice([1, 5, 20, 100]))]
-        sets = []
-        for _ in range(rng.choice([2, 8, 50])):
-            s = set(base)
-            for _ in range(rng.randrange(1 + len(base) // 8)):
-                s.discard(rng.choice(base))
-                s.add(rng.randrange(1 << 40))
-            sets.append(jaccard.np.array(sorted(s), jaccard.np.uint64))
-        found = jaccard.links_in_group(sets)
-        root = list(range(len(sets)))
-        find = lambda x: x if root[x] == x else find(root[x])
-        want = list(root)
-        for i, j in found:
-            assert 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 85 * len(set(sets[i].tolist()) | set(sets[j].tolist()))
-            root[max(find(i), find(j))] = min(find(i), find(j))
-        mine = [find(i) for i in range(len(sets))]
-        for _ in sets:
-            for i in range(len(sets)):
-                for j in range(i):
-                    if 100 * len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 85 * len(set(sets[i].tolist()) | set(sets[j].tolist())):
-                        want[i] = want[j] = min(want[i], want[j])
-            if k > 20:
-                break
-        if k <= 20:
-            assert mine == want
+        sets = some_sets(rng)
+        docs = np.array([rng.randrange(1, 4) for _ in sets])
+        side = np.full(len(sets), 2) if k % 2 else np.array([rng.randrange(2) for _ in sets])
+        links, root = jaccard.search(sets, docs, side)
+        want, parts = [0] * len(sets), list(range(len(sets)))
+        for i, s in enumerate(map(set, map(np.ndarray.tolist, sets))):
+            for j in range(i):
+                t = set(sets[j].tolist())
+                if 100 * len(s & t) >= 85 * len(s | t) and (k % 2 or side[i] != side[j]):
+                    want[i] += docs[j]
+                    want[j] += docs[i]
+                    low, high = sorted((parts[i], parts[j]))
+                    parts = [low if x == high else x for x in parts]
+        assert links.tolist() == want and root.tolist() == parts
+
+
+def test_merge_counts():
+    rng = random.Random(3)
+    for _ in range(50):
+        lists = [np.array(sorted(rng.sample(range(20_000), rng.randrange(60))), np.int64) for _ in range(rng.randrange(1, 9))]
+        ids, counts = jaccard.merge(lists)
+        want = {}
+        for x in lists:
+            for i in x.tolist():
+                want[i] = want.get(i, 0) + 1
+        assert dict(zip(ids.tolist(), counts.tolist(), strict=True)) == want and ids.tolist() == sorted(want)
+
+
+def test_very_long_texts(spark, make_docs):
+    words = [f"w{i}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:110_000])), (3, "x y z " * 100_000), (4, "x y z " * 100_001), (5, "w" * 1_000_000)]
+    assert sorted(tuple(r) for r in jaccard.join(make_docs(rows)).collect()) == [(1, 119_997, 1, 1), (2, 109_997, 1, 1), (3, 3, 3, 1), (4, 3, 3, 1), (5, 1, 5, 0)]
 
 
 def test_edge_cases(spark):
@@ -90,7 +118,7 @@ def test_edge_cases(spark):
     text = "some words that make one text"
     rows = [(5, text), (5, text), (None, text), (4, "other words here to read again"), (7, None)]
     got = sorted((tuple(r) for r in jaccard.join(spark.createDataFrame(rows, schema)).collect()), key=str)
-    assert got == sorted([(5, 3, 5), (5, 3, 5), (None, 3, None), (4, 3, 4), (7, 0, 7)], key=str)
+    assert got == sorted([(5, 3, 5, 1), (5, 3, 5, 1), (None, 3, None, 0), (4, 3, 4, 0), (7, 0, 7, 0)], key=str)
     assert jaccard.join(spark.createDataFrame([], schema)).count() == 0
 
 
