@@ -10,9 +10,11 @@ and remembered.  The language with the shortest code wins; ``score`` is its
 posterior probability under equal priors.
 
 Training counts n-grams over all labelled training texts: summed in the tasks,
-then shuffled by (language, n-gram).  All of them reach the model: the driver
-writes one language's tree at a time to the shared folder, as sorted arrays, and
-workers map the files; in a store that can't be mounted they read them.
+then shuffled by (language, n-gram).  All of them reach the model: a task for each
+language, whose rows are its distinct n-grams however many texts it has, writes its
+tree to the shared folder as sorted arrays, and workers map the files; in a store that
+can't be mounted they read them.  The driver gets a row a language.  A text's code
+length is summed over its own bytes alone, so equal texts have equal ones.
 
 Defined results.  A text that is null or has no letter is ``und`` with score 0,
 and so is every text if nothing could be learned.  Rows with a null lang or a
@@ -22,6 +24,7 @@ lengths: the first language in order.  Repeated rows give one result each.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -135,9 +138,9 @@ class Model:
     def __init__(self, trees: dict[str, Tree | tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(trees)
         self.trees = [x if isinstance(x, Tree) else Tree(*x) for x in map(trees.__getitem__, self.langs)]
-        self.slots = 1 << max(12, min(20, int(np.log2((1 << 23) / max(1, len(self.langs))))))
+        self.slots = 1 << max(12, min(20, int(np.log2((1 << 22) / max(1, len(self.langs))))))
         self.keys = np.full(self.slots, -1, np.int64)
-        self.costs = np.zeros((len(self.langs), self.slots), np.float32)
+        self.costs = np.zeros((len(self.langs), self.slots))
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint32(2654435761)) >> np.uint32(33 - self.slots.bit_length())
@@ -147,21 +150,22 @@ class Model:
         g, cut = grams(texts)
         slot = self._slot(g)
         new = np.unique(g[self.keys[slot] != g])
-        fresh = np.array([t.bits(new) for t in self.trees], np.float32)
+        fresh = np.array([t.bits(new) for t in self.trees])
         at = self._slot(new)
         self.keys[at], self.costs[:, at] = new, fresh
         rest = np.flatnonzero(self.keys[slot] != g)  # two n-grams of one slot
         where = np.minimum(np.searchsorted(new, g[rest]), max(0, len(new) - 1))
         inside = new[where] == g[rest] if len(new) else np.zeros(len(rest), bool)
-        out = np.empty((len(texts), len(self.langs)))
+        out = np.zeros((len(texts), len(self.langs)))
+        full = np.flatnonzero(cut[1:] > cut[:-1])
         lost = rest[~inside]
         for k, tree in enumerate(self.trees):
             cost = self.costs[k][slot]
             cost[rest[inside]] = fresh[k][where[inside]]
             if len(lost):
                 cost[lost] = tree.bits(g[lost])
-            total = np.concatenate(([0.0], np.cumsum(cost, dtype=np.float64)))
-            out[:, k] = total[cut[1:]] - total[cut[:-1]]
+            if len(full):
+                out[full, k] = np.add.reduceat(cost, cut[full])
         return out
 
 
@@ -208,20 +212,26 @@ def training_rows(docs: DataFrame) -> DataFrame:
 Trees = dict[str, tuple[str, list[tuple[int, int]]]]
 
 
+def _write_tree(folder: str) -> Callable[[pa.Table], pa.Table]:
+    """One language's tree as a file; its name carries the attempt."""
+
+    def run(table: pa.Table) -> pa.Table:
+        path = f"{folder}/{uuid.uuid4().hex}.tree"
+        sizes = Tree(table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy().astype(np.float64)).write(path)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "path": pa.array([path], pa.string()), "sizes": pa.array([[x for pair in sizes for x in pair]], pa.list_(pa.int64()))})
+
+    return run
+
+
 def train(labelled: DataFrame) -> Trees:
     """Each language's tree of all its n-grams, in the shared folder."""
     counted = common.doc_bytes(labelled, "lang").select("text", "lang").mapInArrow(common.tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # in order of lang, so that a scan for one language skips most of the others
-    counted = common.written(counted.sortWithinPartitions("lang"), "ppm-counts")
     folder = common.scratch(labelled.sparkSession, "ppm-trees")
     store, at = common.store(folder)
     store.create_dir(at, recursive=True)
-    out = {}
-    for k, lang in enumerate(sorted(x for (x,) in counted.select("lang").distinct().collect())):
-        mine = counted.where(F.col("lang") == lang).select("gram", "n").toArrow()
-        path = f"{folder}/{k:06d}.tree"
-        out[lang] = path, Tree(mine.column("gram").to_numpy().astype(np.uint32), mine.column("n").to_numpy().astype(np.float64)).write(path)
-    return out
+    # at most a row for each n-gram of four bytes that the language has
+    made = counted.groupBy("lang").applyInArrow(_write_tree(folder), "lang string, path string, sizes array<long>").collect()
+    return {r["lang"]: (r["path"], list(itertools.pairwise(r["sizes"]))[::2]) for r in made}
 
 
 _models: dict[str, Model] = {}

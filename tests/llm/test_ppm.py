@@ -48,18 +48,18 @@ def test_code_lengths_match_brute_force():
         got = model.code_lengths(tests)
         for row, t in zip(got, tests, strict=True):
             for value, lang in zip(row, model.langs, strict=True):
-                assert abs(value - brute_bits(training[lang], t)) < 1e-3
+                assert abs(value - brute_bits(training[lang], t)) < 1e-9 * (1 + value)
 
 
 def test_slots_shared_by_grams():
     model = ppm.Model({"x": tree([b"the cat sat on the mat and more of this"])})
     model.slots = 4096
-    model.keys, model.costs = np.full(4096, -1, np.int64), np.zeros((1, 4096), np.float32)
+    model.keys, model.costs = np.full(4096, -1, np.int64), np.zeros((1, 4096))
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 256, 3000).astype(np.uint8).tobytes() for _ in range(8)]
     want = np.array([model.trees[0].bits(ppm.grams([t])[0]).sum() for t in texts])
     for _ in range(2):
-        assert np.allclose(model.code_lengths(texts)[:, 0], want, rtol=1e-5)
+        assert np.allclose(model.code_lengths(texts)[:, 0], want, rtol=1e-12)
 
 
 def test_grams():
@@ -99,4 +99,32 @@ def test_all_counted_grams_reach_the_model(spark):
     got = {r["doc_id"]: r for r in ppm.predict(docs, ppm.train(ppm.training_rows(docs))).collect()}
     for i in (0, 1, 70, 139):
         want = model.code_lengths([texts[i].encode()])[0, 0] / len(texts[i])
-        assert got[i]["lang_pred"] == "x" and abs(got[i]["bits_per_byte"] - want) < 1e-3
+        assert got[i]["lang_pred"] == "x" and abs(got[i]["bits_per_byte"] - want) < 1e-9
+
+
+def test_whole_predictions_match_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices(WORDS[lang], k=rng.randrange(6))), lang) for i in range(60) for lang in [rng.choice(["aa", "bb"])]]
+    rows += [(100, "wind", None), (101, "\u010daj \U0001f600", None), (102, "wind", "aa"), (102, "wind", "aa"), (103, None, "bb")]
+    training = {}
+    for i, t, lang in rows:
+        if t is not None and lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            training.setdefault(lang, []).append(t.encode())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {(r["doc_id"], r["lang_pred"], r["score"], r["bits_per_byte"]) for r in ppm.language(docs).collect()}
+    assert len({g[0] for g in got}) == len(got)  # repeated rows have the very same result
+    got = {g[0]: g[1:] for g in got}
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i] == ("und", 0.0, None)
+            continue
+        bits = {x: brute_bits(training[x], t.encode()) for x in sorted(training)}
+        best = min(bits, key=bits.get)
+        assert got[i][0] == best and abs(got[i][1] - 1 / sum(2 ** (bits[best] - x) for x in bits.values())) < 1e-9 and abs(got[i][2] - bits[best] / len(t.encode())) < 1e-9
+
+
+def test_very_long_text(spark):
+    rows = [(0, "wind water " * 100_000, "aa"), (2, "\u010daj noc " * 50_000, "bb"), (3, "strom", "bb"), (5, "stone", "aa")]
+    rows += [(k, " ".join(WORDS[x]), x) for k in range(10, 30) for x in ["aa" if k % 2 else "bb"]]
+    got = {r["doc_id"]: r["lang_pred"] for r in ppm.language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[0] == "aa" and got[2] == "bb"
