@@ -6,11 +6,13 @@ often one word or pair occurs.  A shard sums its pairs, writes them as a sorted
 array of hashes with their counts, and sends what they say about their words on
 to word shards: how often and after how many words each occurs, and how many
 words follow it once, twice and more often.  These are written as sorted arrays
-too.  The driver gets a row of totals for each file and nothing else.
+too.  A file's name says its shard and nothing else, and it is put in place whole, so a
+task that runs again writes the same file; the driver gets one row of totals.
 
 Scoring.  Workers map the files into memory, so they share pages and keep none of
-their own, look up each batch's distinct words and pairs in order, and sum
-log10 p over each text.  One narrow pass without a shuffle.
+their own, look up each batch's distinct words and pairs in order, in the files of the
+shards that these fall into, and sum log10 p over each text.  One narrow pass without a
+shuffle; a batch opens as many files as it has pairs at most, however many there are.
 
 p(w|u) = max(c(u,w) - D(c), 0) / c(u) + g(u) p(w), with D for counts of 1, 2 and
 more and g(u) what they leave; p(w) is the same over how many words w follows,
@@ -50,11 +52,12 @@ END, START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" star
 BATCH, SHARD_BYTES = 4 << 20, 16 << 20
 #: Discounts where the counts of counts give none.
 FALLBACK = 0.75
-#: A pair is known by the 48 bits of its hash that follow those its shard has.  MANY stands for a count kept apart.
-PAIR = np.dtype([("high", "<u4"), ("low", "<u2"), ("count", "<u1")])
-MANY = 255
-WORD = np.dtype([("hash", "<u8"), ("count", "<u4"), ("after", "<u4"), ("once", "<u4"), ("twice", "<u4"), ("often", "<u4")])
-FILES = "kind string, shard int, path string, rows long, total long, n1 long, n2 long, n3 long, n4 long"
+#: A pair is known by the 48 bits of its hash that follow those its shard has; a word by its hash.  MANY stands for a count kept apart.
+PAIR, MANY = ("high", "low", "count"), 255
+WORD = ("hash", "count", "after", "once", "twice", "often")
+#: Numbers at the head of a file: its rows, and of each column the bytes of a number and how many there are.
+HEAD = 32
+TOTALS = "kind string, rows long, total long, n1 long, n2 long, n3 long, n4 long"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -89,9 +92,8 @@ class Batch:
         self.before, self.after = np.divmod(self.pairs, len(self.hashes))
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0.0], np.cumsum(values)))
-        ends = np.cumsum(self.sizes)
-        return total[ends] - total[ends - self.sizes]
+        """Sums over each text; every text has a token, and none depends on the others of its batch."""
+        return np.add.reduceat(values, np.cumsum(self.sizes) - self.sizes) if len(self.sizes) else np.zeros(0)
 
 
 def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,25 +120,36 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _packed(x: np.ndarray) -> bytes:
+def _narrow(x: np.ndarray) -> np.ndarray:
     """As the narrowest unsigned integers."""
-    most = x.max()
-    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+    most = int(x.max()) if len(x) else 0
+    return x.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * np.dtype(k).itemsize))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return _narrow(x).tobytes()
 
 
 def _unpacked(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, f"<u{len(x) // n}")
 
 
-def _write(folder: str, kind: str, shard: int, rows: np.ndarray, rest: bytes = b"") -> str:
+def _path(folder: str, kind: str, shard: int) -> str:
+    return f"{folder}/{kind}-{shard:09d}"
+
+
+def _write(path: str, columns: list[np.ndarray]) -> None:
+    """A column after the other, each from a multiple of eight bytes on."""
     task = TaskContext.get()
-    path = f"{folder}/{kind}-{shard:06d}-{task.stageId()}-{task.taskAttemptId()}"
     store, at = common.store(path)
-    with store.open_output_stream(at) as f:
-        for name in rows.dtype.names:  # a column after the other
-            f.write(np.ascontiguousarray(rows[name]).tobytes())
-        f.write(rest)
-    return path
+    mine = f"{at}.{task.stageId()}-{task.taskAttemptId()}"
+    head = np.zeros(HEAD, "<u8")
+    head[: 2 * len(columns)] = [n for x in columns for n in (x.dtype.itemsize, len(x))]
+    with store.open_output_stream(mine) as f:
+        f.write(head.tobytes())
+        for x in columns:
+            f.write(x.tobytes() + bytes(-x.nbytes % 8))
+    store.move(mine, at)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -145,16 +158,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]
         yield shard, list(rows)
 
 
-_PART = "shard int, file string, hashes binary, values binary"
+_PART = "shard int, totals string, n int, hashes binary, count binary, after binary, once binary, twice binary, often binary"
 
 
-def _file_row(kind: str, shard: int, path: str, rows: int, total: int, counts: np.ndarray) -> str:
-    return "\t".join(map(str, (kind, shard, path, rows, total, *(int((counts == k).sum()) for k in (1, 2, 3, 4)))))
+def _totals(kind: str, counts: np.ndarray, total: int) -> str:
+    return "\t".join(map(str, (kind, len(counts), total, *(int((counts == k).sum()) for k in (1, 2, 3, 4)))))
 
 
 def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "file", "hashes", "values"])
+    kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 6]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _PART.split(", ")])
 
 
 def _pairs(folder: str, bits: int, word_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -167,7 +180,7 @@ def _pairs(folder: str, bits: int, word_bits: int) -> Callable[[Iterator[pa.Reco
                 words = np.frombuffer(r["words"], np.uint64)
                 before.append(words[np.cumsum(_unpacked(r["before"], r["n"]), dtype=np.int64)])
                 after.append(words[_unpacked(r["after"], r["n"])])
-                counts.append(_unpacked(r["counts"], r["n"]).astype(np.uint32))
+                counts.append(_unpacked(r["counts"], r["n"]))
             rows.clear()
             before, after, counts = (np.concatenate(x) for x in (before, after, counts))
             key = pair_hash(before, after)
@@ -177,48 +190,43 @@ def _pairs(folder: str, bits: int, word_bits: int) -> Callable[[Iterator[pa.Reco
             c = np.add.reduceat(counts[order].astype(np.int64), first)
             before, after, known = before[order[first]], after[order[first]], key[first] << np.uint64(bits)
             del key, order, counts
-            out = np.empty(len(first), PAIR)
-            out["high"], out["low"], out["count"] = known >> np.uint64(32), known >> np.uint64(16) & np.uint64(0xFFFF), np.minimum(c, MANY)
             many = np.flatnonzero(c >= MANY)
-            rest = np.concatenate((many.astype("<u4"), c[many].astype("<u4")))
-            file = _file_row("pair", shard, _write(folder, "pair", shard, out, rest.tobytes()), len(out), int(c.sum()), c)
-            yield _parts([(-1, file, b"", b"")])
+            _write(_path(folder, "pair", shard), [(known >> np.uint64(32)).astype("<u4"), (known >> np.uint64(16)).astype("<u2"), np.minimum(c, MANY).astype("<u1"), many.astype("<u8"), c[many].astype("<u8")])
+            yield _parts([(-1, _totals("pair", c, int(c.sum())), 0, *[b""] * 6)])
             words, place = np.unique(np.concatenate((before, after)), return_inverse=True)
-            values = np.zeros((len(words), 5), np.uint32)
+            values = np.zeros((5, len(words)), np.int64)
             b, a = place[: len(before)], place[len(before) :]
-            values[:, 0] = np.bincount(a, c, len(words))
-            values[:, 1] = np.bincount(a, minlength=len(words))
+            values[0] = np.bincount(a, c, len(words))  # exact up to 2^53
+            values[1] = np.bincount(a, minlength=len(words))
             for k, at in ((2, c == 1), (3, c == 2), (4, c > 2)):
-                values[:, k] = np.bincount(b[at], minlength=len(words))
+                values[k] = np.bincount(b[at], minlength=len(words))
             own = words >> np.uint64(64 - word_bits) if word_bits else np.zeros(len(words), np.uint64)
             cut = np.searchsorted(own, np.arange((1 << word_bits) + 1, dtype=np.uint64))
-            yield _parts([(k, None, words[i:j].tobytes(), np.ascontiguousarray(values[i:j].T).tobytes()) for k, (i, j) in enumerate(itertools.pairwise(cut.tolist())) if j > i] or [(-1, None, b"", b"")])
+            yield _parts([(k, None, j - i, words[i:j].tobytes(), *(_packed(v[i:j]) for v in values)) for k, (i, j) in enumerate(itertools.pairwise(cut.tolist())) if j > i])
 
     return run
 
 
 def _words(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums a shard's words and writes them; yields a row for each file."""
+    """Sums a shard's words and writes them; yields the totals of each file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = []
+        totals = []
         for shard, rows in _groups(batches):
             if shard < 0:
-                files += [r["file"] for r in rows if r["file"]]
+                totals += [r["totals"] for r in rows]
                 continue
             hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-            values = np.concatenate([np.frombuffer(r["values"], np.uint32).reshape(5, -1) for r in rows], axis=1)
+            values = [np.concatenate([_unpacked(r[name], r["n"]).astype(np.int64) for r in rows]) for name in WORD[1:]]
             rows.clear()
             order = np.argsort(hashes)
             hashes = hashes[order]
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-            out = np.empty(len(first), WORD)
-            out["hash"] = hashes[first]
-            for name, x in zip(WORD.names[1:], values, strict=True):
-                out[name] = np.add.reduceat(x[order].astype(np.int64), first)
-            files.append(_file_row("word", shard, _write(folder, "word", shard, out), len(out), int(out["count"].sum(dtype=np.int64)), out["after"]))
-        for f in files:
-            yield pa.record_batch({"file": pa.array([f], pa.string())})
+            out = dict(zip(WORD[1:], (np.add.reduceat(x[order], first) for x in values), strict=True))
+            _write(_path(folder, "word", shard), [hashes[first], *map(_narrow, out.values())])
+            totals.append(_totals("word", out["after"], int(out["count"].sum())))
+        for x in totals:
+            yield pa.record_batch({"totals": pa.array([x], pa.string())})
 
     return run
 
@@ -235,106 +243,106 @@ def discounts(n: tuple[int, int, int, int]) -> np.ndarray:
 
 
 class Model:
-    """What of the model is small: totals, discounts, and the files in order of hash."""
-
-    def __init__(self, files: list[dict], bits: int) -> None:
-        self.pairs = sorted((f | {"bits": bits} for f in files if f["kind"] == "pair"), key=lambda f: f["shard"])
-        words = [f for f in files if f["kind"] == "word"]
-        self.words = sorted(words, key=lambda f: f["shard"])
-        total = lambda own, k: sum(f[k] for f in own)
-        self.tokens, self.pair_kinds = total(words, "total"), total(self.pairs, "rows")
-        self.pair_discounts = discounts(tuple(total(self.pairs, f"n{k}") for k in (1, 2, 3, 4)))
-        counts = [total(words, f"n{k}") for k in (1, 2, 3, 4)]
-        self.word_discounts = discounts(tuple(counts))
+    """What of the model is small: totals, discounts, and where the files are."""
+
+    def __init__(self, folder: str, bits: int, word_bits: int, pairs: tuple[int, ...], words: tuple[int, ...]) -> None:
+        """``pairs`` and ``words`` have the totals over their files: rows, counts, and the numbers of rows with counts 1 to 4."""
+        self.folder, self.bits, self.word_bits = folder, bits, word_bits
+        self.tokens, self.pair_kinds = words[1], pairs[0]
+        self.pair_discounts = discounts(pairs[2:])
+        self.word_discounts = discounts(words[2:])
         #: Words that occur; the start of a text is none of them.
-        self.vocabulary = max(0, total(words, "rows") - 1)
+        self.vocabulary = max(0, words[0] - 1)
         d = self.word_discounts
-        left = d[1] * counts[0] + d[2] * counts[1] + d[3] * (self.vocabulary - counts[0] - counts[1])
+        left = d[1] * words[2] + d[2] * words[3] + d[3] * (self.vocabulary - words[2] - words[3])
         self.below = left / self.pair_kinds / (self.vocabulary + 1) if self.pair_kinds else 1.0
 
 
 @lru_cache(4096)
-def _mapped(path: str, kind: str, rows: int) -> dict[str, np.ndarray]:
-    """A file's columns; mapped where the shared folder is mounted, else read."""
+def _mapped(path: str) -> list[np.ndarray]:
+    """A file's columns; mapped where the shared folder is mounted, else read.  No file: no rows."""
     store, at = common.store(path)
-    columns, offset = {}, 0
+    if store.get_file_info(at).type == pafs.FileType.NotFound:
+        return [np.zeros(0, np.uint64)] * len(WORD)
     if isinstance(store, pafs.LocalFileSystem):
         data = np.memmap(at, np.uint8, "r")
     else:
         with store.open_input_stream(at) as f:
             data = np.frombuffer(f.read(), np.uint8)
-    dtype = PAIR if kind == "pair" else WORD
-    for name in dtype.names:
-        n = rows * dtype[name].itemsize
-        columns[name] = data[offset : offset + n].view(dtype[name])
-        offset += n
-    if kind == "pair":
-        columns["many"], columns["counts"] = data[offset:].view("<u4").reshape(2, -1)
+    columns, offset = [], 8 * HEAD
+    for width, n in data[:offset].view("<u8").reshape(-1, 2).tolist():
+        if width:
+            columns.append(np.asarray(data[offset : offset + width * n]).view(f"<u{width}"))
+            offset += width * n + -width * n % 8
     return columns
 
 
-def pair_counts(files: list[dict], wanted: np.ndarray) -> np.ndarray:
+def _shards(asked: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, i, j) of the shards that the sorted hashes fall into."""
+    if not len(asked):
+        return
+    shard = asked >> np.uint64(64 - bits) if bits else np.zeros(len(asked), np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    yield from zip(shard[first].tolist(), first.tolist(), np.append(first[1:], len(asked)).tolist(), strict=True)
+
+
+def pair_counts(model: Model, wanted: np.ndarray) -> np.ndarray:
     """How often the pairs with the hashes ``wanted`` were seen."""
     order = np.argsort(wanted)
     asked = wanted[order]
     out = np.zeros(len(wanted), np.int64)
-    for f in files:
-        bits = f["bits"]
-        i, j = (np.searchsorted(asked >> np.uint64(64 - bits), f["shard"], side) for side in ("left", "right")) if bits else (0, len(asked))
-        if i >= j:
-            continue
-        columns = _mapped(f["path"], f["kind"], f["rows"])
-        key = asked[i:j] << np.uint64(bits)
+    for shard, i, j in _shards(asked, model.bits):
+        highs, lows, counts, many, rest = _mapped(_path(model.folder, "pair", shard))[:5]
+        key = asked[i:j] << np.uint64(model.bits)
         high, low = (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(16)).astype(np.uint16)
-        at = np.searchsorted(columns["high"], high)
+        at = np.searchsorted(highs, high)
         left = np.arange(j - i)
         while len(left):  # more rounds than one only where pairs share their first 32 bits
-            left = left[at[left] < f["rows"]]
-            left = left[columns["high"][at[left]] == high[left]]
-            hit = columns["low"][at[left]] == low[left]
+            left = left[at[left] < len(highs)]
+            left = left[highs[at[left]] == high[left]]
+            hit = lows[at[left]] == low[left]
             found = at[left[hit]]
-            count = columns["count"][found].astype(np.int64)
+            count = counts[found].astype(np.int64)
             full = np.flatnonzero(count == MANY)
-            count[full] = columns["counts"][np.searchsorted(columns["many"], found[full])]
+            count[full] = rest[np.searchsorted(many, found[full])]
             out[order[i + left[hit]]] = count
             left = left[~hit]
             at[left] += 1
     return out
 
 
-def look_up(files: list[dict], wanted: np.ndarray, *names: str) -> list[np.ndarray]:
-    """Columns of the rows with the hashes ``wanted``, 0 where there is none."""
+def look_up(model: Model, wanted: np.ndarray, *names: str) -> list[np.ndarray]:
+    """Columns of the words with the hashes ``wanted``, 0 where there is none."""
     order = np.argsort(wanted)
     asked = wanted[order]
     out = [np.zeros(len(wanted), np.int64) for _ in names]
-    for f in files:
-        columns = _mapped(f["path"], f["kind"], f["rows"])
-        hashes = columns["hash"]
-        i, j = np.searchsorted(asked, hashes[0]), np.searchsorted(asked, hashes[-1], "right")
-        if i < j:
+    for shard, i, j in _shards(asked, model.word_bits):
+        columns = _mapped(_path(model.folder, "word", shard))
+        hashes = columns[0]
+        if len(hashes):
             at = np.minimum(np.searchsorted(hashes, asked[i:j]), len(hashes) - 1)
             found = np.flatnonzero(hashes[at] == asked[i:j])
             for x, name in zip(out, names, strict=True):
-                x[order[i + found]] = columns[name][at[found]]
+                x[order[i + found]] = columns[WORD.index(name)][at[found]]
     return out
 
 
 def score_batch(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """n_tokens, n_known, base_score and score of each text."""
     b = Batch(texts)
-    count, after, once, twice, often = look_up(model.words, b.hashes, "count", "after", "once", "twice", "often")
-    pair = pair_counts(model.pairs, pair_hash(b.hashes[b.before], b.hashes[b.after]))
+    count, after, once, twice, often = look_up(model, b.hashes, "count", "after", "once", "twice", "often")
+    pair = pair_counts(model, pair_hash(b.hashes[b.before], b.hashes[b.after]))
     base = np.log10((count + 1) / (model.tokens + model.vocabulary + 1))
     low = np.maximum(after - model.word_discounts[np.minimum(after, 3)], 0) / max(1, model.pair_kinds) + model.below
     d = model.pair_discounts
     # a text starts as often as texts end; the end is followed by nothing
     follows = count.copy()
-    follows[-1] = look_up(model.words, np.array([END], np.uint64), "count")[0][0]
+    follows[-1] = look_up(model, np.array([END], np.uint64), "count")[0][0]
     follows[b.hashes == END] = 0
     share = np.where(follows > 0, (d[1] * once + d[2] * twice + d[3] * often) / np.maximum(follows, 1), 1.0)
     seen = np.where(follows[b.before] > 0, np.maximum(pair - d[np.minimum(pair, 3)], 0) / np.maximum(follows[b.before], 1), 0.0)
     p = np.log10(seen + share[b.before] * low[b.after])
-    return b.sizes, b.per_text(count[b.words] > 0).astype(np.int64), b.per_text(base[b.words]), b.per_text(p[b.pair_of])
+    return b.sizes, b.per_text((count[b.words] > 0).astype(np.int64)), b.per_text(base[b.words]), b.per_text(p[b.pair_of])
 
 
 def train(docs: DataFrame, folder: str) -> Model:
@@ -346,19 +354,21 @@ def train(docs: DataFrame, folder: str) -> Model:
     store.create_dir(at, recursive=True)
     sent = common.doc_bytes(docs).mapInArrow(common.tidy(_count(bits)), "shard int, words binary, before binary, after binary, counts binary, n int")
     pairs = sent.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_pairs(folder, bits, word_bits)), _PART)
-    words = pairs.repartition(1 << word_bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_words(folder)), "file string")
-    kinds = [x.split() for x in FILES.split(", ")]
-    return Model([{n: v if k == "string" else int(v) for (n, k), v in zip(kinds, r[0].split("\t"), strict=True)} for r in words.collect()], bits)
+    words = pairs.repartition(1 << word_bits, "shard").sortWithinPartitions("shard").mapInArrow(common.tidy(_words(folder)), "totals string")
+    names = [x.split()[0] for x in TOTALS.split(", ")]
+    fields = F.split("totals", "\t")
+    rows = words.select(*[F.element_at(fields, k + 1).alias(n) for k, n in enumerate(names)])
+    sums = {r[0]: tuple(int(x) for x in r[1:]) for r in rows.groupBy("kind").agg(*[F.sum(F.col(n).cast("decimal(38,0)")).alias(n) for n in names[1:]]).collect()}
+    nothing = (0,) * len(names[1:])
+    return Model(folder, bits, word_bits, sums.get("pair", nothing), sums.get("word", nothing))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    spark = docs.sparkSession
-    common.arrow_limits(spark)
-    sent = spark.sparkContext.broadcast(model)
+    common.arrow_limits(docs.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
         names = table.column("doc_id").to_pylist()
-        n, known, base, mine = score_batch(sent.value, table.column("text").to_pylist())
+        n, known, base, mine = score_batch(model, table.column("text").to_pylist())
         return pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array([held_out(d) for d in names]), "n_tokens": pa.array(n), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(mine)})
 
     return common.map_tables(common.doc_bytes(docs), lambda: run, SCHEMA, BATCH)

@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from demeframe.llm import common, lm
@@ -94,3 +96,41 @@ def test_discounts():
     assert lm.discounts((0, 0, 0, 0)).tolist() == [0, 0.75, 0.75, 0.75]
     d = lm.discounts((100, 40, 20, 12))
     assert 0 < d[1] < d[2] < d[3] < 3
+
+
+def test_counts_beyond_32_bits(tmp_path, monkeypatch):
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"stageId": lambda self: 1, "taskAttemptId": lambda self: 2})())
+    big = 5 << 32
+    u, w, x = (np.array([v], np.uint64) for v in (11, 1 << 60, 99))
+    key = np.sort(np.concatenate((lm.pair_hash(u, w), lm.pair_hash(u, x))))
+    rows = [{"shard": 0, "words": np.concatenate((u, w, x)).tobytes(), "before": lm._packed(np.array([0, 0])), "after": lm._packed(np.array([1, 2])), "counts": np.array([big, 3], "<u8").tobytes(), "n": 2}]
+    kinds = {"shard": pa.int32(), "n": pa.int32()}
+    made = lm._pairs(str(tmp_path), 0, 0)(iter([pa.record_batch({k: pa.array([rows[0][k]], kinds.get(k, pa.binary())) for k in rows[0]})]))
+    parts = [b for b in made]
+    totals = [r[0].as_py().split("\t") for r in lm._words(str(tmp_path))(iter(parts)) for r in r.columns]
+    assert ["pair", "2", str(big + 3), "0", "0", "1", "0"] in totals and sum(int(t[2]) for t in totals if t[0] == "word") == big + 3
+    model = lm.Model(str(tmp_path), 0, 0, (2, big + 3, 0, 0, 1, 0), (3, big + 3, 2, 0, 0, 0))
+    assert model.tokens == big + 3
+    assert sorted(lm.pair_counts(model, key).tolist()) == [3, big]
+    assert lm.look_up(model, np.concatenate((w, x, u)), "count", "after")[0].tolist() == [big, 3, 0]
+
+
+def test_many_shards(spark, make_docs, monkeypatch):
+    # most shards have no pair of a word in them
+    data = rows(3)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 100)
+    docs = make_docs(data).repartition(4)
+    want, _, _, _ = brute(data)
+    model = lm.train(docs, common.scratch(spark, "lm"))
+    assert model.bits >= 6
+    for r in lm.score(docs, model).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][4])
+
+
+def test_equal_texts_score_alike_and_very_long_texts(spark, make_docs):
+    text = "some words that come again " * 60_000
+    data = [(10, text), (11, "other words " * 3), (12, text), (13, "some words"), (14, "x" * 2_000_000), (15, "some words")]
+    got = {r["doc_id"]: r for r in lm.language_model(make_docs(data).repartition(3)).collect()}
+    want, _, _, _ = brute(data)
+    assert got[10]["score"] == got[12]["score"] and got[13]["score"] == got[15]["score"] and got[10]["n_tokens"] == 300_001
+    assert all(got[d]["score"] == pytest.approx(want[d][4]) for d, _ in data)
