@@ -8,6 +8,7 @@ one 256-byte translation table followed by ``bytes.split`` is exact for them.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -54,12 +55,15 @@ def arrow_limits(spark: SparkSession, rows: int = 256) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a temporary folder is set.
+    Where the session names none, as in tests, a temporary folder is set; on a cluster that is an error,
+    as its machines share no such folder.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
         at = sc._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and re.fullmatch(r"local(\[.*\])?", sc.master) is None:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         at = at.get().rsplit("/", 1)[0] if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="demeframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

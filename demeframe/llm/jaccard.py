@@ -107,6 +107,10 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+#: A hash of the text, which tells rows of one doc_id apart.
+SAME = "same"
+
+
 def _classes() -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table.column("text").to_pylist())
@@ -457,18 +461,24 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row."""
+    return classified(docs).drop(SAME, "part")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """The same, with a hash of the row's text as ``same``, and ``part``, one number for each component (null without words or id)."""
     common.arrow_limits(docs.sparkSession)
-    classes = common.written(common.map_tables(common.doc_bytes(docs), _classes, "doc_id long, n long, cls long", 4 << 20), "jaccard-classes")
+    texts = common.doc_bytes(docs, F.xxhash64("text").alias(SAME))
+    classes = common.written(common.map_tables(texts, _classes, "doc_id long, n long, cls long", 4 << 20, [SAME]), "jaccard-classes")
     found = links(docs, classes)
     parts = components(found.where("cls <> least").select(F.col("least").alias("u"), F.col("cls").alias("v"))).withColumnsRenamed({"id": "cls", "component": "linked"})
     # a row a class; only then do documents meet it
     alike = classes.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.count("*").alias("alike"), F.min("doc_id").alias("first"))
     each = alike.join(found.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left").join(parts, "cls", "left").withColumn("part", F.coalesce("linked", "cls"))
     smallest = each.groupBy("part").agg(F.min("first").alias("smallest"))
-    each = each.join(smallest, "part").select("cls", "smallest", (F.col("alike") - 1 + F.coalesce("links", F.lit(0))).alias("near"))
+    each = each.join(smallest, "part").select("cls", "part", "smallest", (F.col("alike") - 1 + F.coalesce("links", F.lit(0))).alias("near"))
     whole = classes.join(each, "cls", "left")
     known = F.col("doc_id").isNotNull()
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("smallest", "doc_id")).alias("component_id"), F.when(known, F.coalesce("near", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_links"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("smallest", "doc_id")).alias("component_id"), F.when(known, F.coalesce("near", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_links"), SAME, F.when(known, F.col("part")).alias("part"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_run_matches_brute_force(spark, tables):
     at, rows, items = tables
     kept = [(d, t) for d, t, *_ in rows if t and ppm.has_letter(t.encode())]
     with_id = list(dict.fromkeys(x for x in kept if x[0] is not None))
-    first = {d for d, _, c in components(with_id) if d == c}
+    first = {d for d, _, c, _ in components(with_id) if d == c}
     kept = [x for x in with_id if x[0] in first] + [x for x in kept if x[0] is None]
     bad = contaminated(kept, items)
     kept = {d: t for d, t in kept if not bad[d][4]}
@@ -47,6 +47,19 @@ def test_run_matches_brute_force(spark, tables):
         assert list(got[d]["ids"]) == ids and got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_rows_that_share_an_id(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(1, text), (5, text + "."), (5, "quite another text that is on its own here"), (6, text), (7, "b c d e f g"), (7, "b c d e f g"), (7, "h i j k l m"), (8, None), (8, "")]
+    rows += [(2, text.replace("one", "uno") + " end"), (9, text.upper())]
+    docs = spark.createDataFrame([(d, t, x, "s", 1) for k, (d, t) in enumerate(rows) for x in [str(k)]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    parts = {}
+    for d, s, c, _ in components(list(dict.fromkeys(x for x in rows if x[0] in (1, 2, 6, 9)))):
+        parts.setdefault(c, []).append(d)
+    want = [(c, dict(rows)[c]) for c in parts] + [(5, "quite another text that is on its own here"), (7, "b c d e f g"), (7, "h i j k l m"), (8, None), (8, "")]
+    assert got == sorted(want, key=str)
+
+
 def test_stages_keep_the_columns_of_documents(spark, tables):
     docs = spark.read.parquet(tables[0] + "/documents.parquet").selectExpr("*", "1 as spans", "2 as lang_pred")
     for _, stage in pipeline.STAGES[:-1]:
