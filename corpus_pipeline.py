@@ -29,11 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked ones; rows without an id stay.
 
-    Rows that share a doc_id and a text are one document; rows that share a doc_id alone stay or go together.
+    Of linked rows that share this id, those with the text of the least hash are the document, and of rows
+    that share id and text the one with the least other columns stays.
     """
-    first = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.select(*COLUMNS).where("doc_id is not null").join(first, "doc_id", "left_semi")
-    once = known.groupBy("doc_id", F.xxhash64("text").alias("same")).agg(*(F.first(c).alias(c) for c in COLUMNS[1:])).select(*COLUMNS)
+    found = jaccard.classified(docs).where("doc_id = component_id")
+    # without words a row is linked with nothing
+    alone = found.where("part is null").select("doc_id", "same").distinct()
+    first = found.where("part is not null").groupBy("part", "doc_id").agg(F.min("same").alias("same")).select("doc_id", "same").unionByName(alone)
+    known = docs.select(*COLUMNS, F.xxhash64("text").alias("same")).where("doc_id is not null").join(first, ["doc_id", "same"], "left_semi")
+    once = known.groupBy("doc_id", "same").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return once.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
