@@ -237,4 +237,30 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(removal_spans(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark")))
+    found = report(removal_spans(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark")))
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.withColumn("spans", shown)
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: From the rule, not from the plan: every run of words of a length that windows have is compared with the windows.
+OP1_SQL = f"""
+with docs as (select row_number() over () as r, cast(doc_id as bigint) as doc_id, {_WORDS} as w from documents),
+items as (select item_id, {_WORDS} as w from benchmark where text is not null),
+windows as (
+  select distinct item_id, least(len(w), {WINDOW}) as n, array_to_string(list_slice(w, i, i + least(len(w), {WINDOW}) - 1), ' ') as x
+  from items, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) as t(i) where len(w) > 0),
+runs as (
+  select r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as x
+  from docs, (select distinct n from windows) as s, unnest(range(1, len(w) - n + 2)) as t(i)),
+hits as (select r, i, n, item_id from runs join windows using (n, x)),
+words as (select distinct r, p from hits, unnest(range(i - 1, i - 1 + n)) as t(p)),
+isles as (select r, min(p) as a, max(p) + 1 as b from (select r, p, p - row_number() over (partition by r order by p) as isle from words) group by r, isle),
+spans as (select r, string_agg(a || ':' || b, ',' order by a) as spans, sum(b - a) as n_hit from isles group by r),
+named as (select r, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from (select distinct r, item_id from hits where item_id is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated, coalesce(spans, '') as spans
+from docs left join spans using (r) left join named using (r)
+"""

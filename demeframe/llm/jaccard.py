@@ -15,7 +15,7 @@ Documents with equal shingle sets form one class; classes are searched.
    and candidates found often enough are probed in the long ones by binary search.
    L is the number that makes merged entries and expected probes cheapest together.
    A component beyond GROUP sets is searched by its ties (the sets that share one, for
-   each of them) if these make fewer pairs than the component has, and what is still beyond GROUP
+   each of them) if these make fewer pairs and fewer copies of sets than chunks would, and what is still beyond GROUP
    is cut by size band and hash into chunks, each pair of chunks that can hold a link
    one task.  Each pair is looked at in one task only, or counted in one: exact at any size.
 4. A task tells each class how many documents it found linked, and the least class that it
@@ -427,8 +427,10 @@ def _groups(clusters: DataFrame, ties: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     large = sizes.where((F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES))
     tied = ties.join(clusters.join(large, "component").select("cls", "n", "component", "sets"), "cls")
-    pairs = tied.groupBy("component", "sets", "token").agg(F.count("*").cast("double").alias("here")).groupBy("component", "sets").agg(F.sum(F.col("here") * F.col("here")).alias("pairs"))
-    by_tie = pairs.where("pairs < cast(sets as double) * sets").select("component")
+    pairs = tied.groupBy("component", "sets", "token").agg(F.count("*").cast("double").alias("here")).groupBy("component", "sets").agg(F.sum(F.col("here") * F.col("here")).alias("pairs"), F.sum("here").alias("copies"))
+    # chunks of half a group meet each other, so that is how often they copy a set
+    cheaper = (F.col("pairs") < F.col("sets").cast("double") * F.col("sets")) & (F.col("copies") <= F.col("sets").cast("double") * F.col("sets") / (GROUP // 2))
+    by_tie = pairs.where(cheaper).select("component")
     whole = clusters.join(by_tie, "component", "left_anti").select("cls", F.col("component").cast("string").alias("unit"), F.lit(None).cast("long").alias("token"), "n")
     parts = tied.join(by_tie, "component", "left_semi").select("cls", F.concat_ws("/", F.col("component").cast("string"), F.col("token").cast("string")).alias("unit"), "token", "n")
     # a class's ties are a part of its shingles, its tasks a few, or as many as its ties and chunks are
@@ -483,3 +485,25 @@ def classified(docs: DataFrame) -> DataFrame:
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.read_table(spark, sf_dir, "documents"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: From the rule: all pairs of rows that share a shingle are counted out.
+OP9_SQL = f"""
+with recursive docs as (
+  select row_number() over () as r, cast(doc_id as bigint) as doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select distinct r, array_to_string(list_slice(w, i, i + {WIDTH} - 1), ' ') as x
+  from docs, unnest(range(1, greatest(len(w) - {WIDTH} + 1, 1) + 1)) as t(i) where len(w) > 0),
+sizes as (select r, count(*) as n from sets group by r),
+known as (select * from sets semi join (select r from docs where doc_id is not null) using (r)),
+shared as (select a.r as u, b.r as v, count(*) as c from known a join known b on a.x = b.x and a.r < b.r group by 1, 2),
+links as (select u, v from shared join sizes a on a.r = u join sizes b on b.r = v where 100 * c >= {PERCENT} * (a.n + b.n - c)),
+sides as (select u, v from links union all select v, u from links),
+reach(r, s) as (select r, r from docs union select reach.r, v from reach join sides on s = u),
+parts as (select reach.r, min(doc_id) as component_id from reach join docs on docs.r = s group by 1),
+degrees as (select u as r, count(*) as n_links from sides group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, case when doc_id is not null then component_id end as component_id, coalesce(n_links, 0) as n_links
+from docs join parts using (r) left join sizes using (r) left join degrees using (r)
+"""

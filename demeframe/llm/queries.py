@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_byte_bpe
 from .chat import OP6_SQL, op6_chat
-from .decontaminate import op1_decontaminate
-from .jaccard import op9_jaccard
+from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard import OP9_SQL, op9_jaccard
 from .licenses import op4_licenses
 from .lm import op3_kneser_ney
 from .pii import op10_pii
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op9_jaccard": OP9_SQL}

@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from demeframe.llm import common
-from demeframe.llm.decontaminate import Windows, find_in_words, removal_spans, report
+from demeframe.llm.decontaminate import OP1_SQL, Windows, find_in_words, op1_decontaminate, removal_spans, report
 from demeframe.llm.fm_index import FMIndex, suffix_array
 
 
@@ -92,3 +93,12 @@ def test_very_long_text(spark, make_docs):
     text = ("zz yy " * 200_000 + item + " ") * 2
     got = report(removal_spans(make_docs([text, "x"]), spark.createDataFrame([(5, item)], "item_id long, text string"))).orderBy("doc_id").collect()
     assert tuple(got[0][:4]) == (0, 800_040, 40, 1) and tuple(got[1][:4]) == (1, 1, 0, 0)
+
+
+def test_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{at}/{t}.parquet'")
+    got = [tuple(r) for r in op1_decontaminate(spark, at).collect()]
+    assert sorted(got) == sorted(con.sql(OP1_SQL).fetchall()) and any(r[5] for r in got)

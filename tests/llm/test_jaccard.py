@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -127,3 +128,11 @@ def test_component_rounds(spark):
     got = {r["id"]: r["component"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_sql(spark):
+    at = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}/documents.parquet'")
+    got = [tuple(r) for r in jaccard.op9_jaccard(spark, at).collect()]
+    assert sorted(got) == sorted(con.sql(jaccard.OP9_SQL).fetchall()) and any(r[3] for r in got)
