@@ -6,10 +6,14 @@ ref_end, ord; a read's library is a join away (:func:`.header.libraries`).
 
 from __future__ import annotations
 
+import io
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,6 +24,10 @@ from ..operators.windows import Region
 SCHEMA = "qname string, flag int, chrom string, pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, read_group string, ref_end int, ord bigint"
 #: Fixed values of the formats: CIGAR operations and base codes.
 OPS, CODES = "MIDNSHP=XB", "=ACMGRSVTWYHKDBN"
+#: Bytes of a file that one task reads, where an index tells where to cut.
+SPLIT = 32 << 20
+_CIGAR = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
+ARROW = pa.schema(list(zip([c.split()[0] for c in SCHEMA.replace("op:string,len", "op:string len").split(", ")], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), _CIGAR, pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.int64()], strict=True)))
 _AUX = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4, "d": 8}
 
 
@@ -28,7 +36,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
     x = F.split("value", "\t")
     rows = text.where(~F.col("value").startswith("@") & (F.col("value") != "")).withColumn("x", x)
-    at = lambda i: F.element_at("x", i)
+    at = lambda i: F.get("x", F.lit(i - 1))
     qual = F.when(at(11) == "*", F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(at(11))), lambda i: F.ascii(F.substring(at(11), i, F.lit(1))) - 33))
     group = F.get(F.filter(F.slice("x", 12, F.size("x")), lambda t: t.startswith("RG:Z:")), F.lit(0))
     out = rows.select(
@@ -56,36 +64,76 @@ def overlapping(reads: DataFrame, chrom: str, beg: int, end: int) -> DataFrame:
     return reads.where((F.col("chrom") == chrom) & (F.col("pos") < end) & (F.col("ref_end") > beg))
 
 
-def blocks(data: bytes) -> Iterator[bytes]:
-    """The blocks of a BGZF file."""
-    at = 0
-    while at < len(data):
-        extra = struct.unpack_from("<H", data, at + 10)[0]
-        size, i = None, at + 12
-        while i < at + 12 + extra:
-            tag, n = data[i : i + 2], struct.unpack_from("<H", data, i + 2)[0]
+def blocks(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """Where each block of a BGZF file is, and what it holds, from the file's position on."""
+    while True:
+        at = f.tell()
+        head = f.read(12)
+        if not head:
+            return
+        extra = f.read(struct.unpack_from("<H", head, 10)[0])
+        size, i = None, 0
+        while i < len(extra):
+            tag, n = extra[i : i + 2], struct.unpack_from("<H", extra, i + 2)[0]
             if tag == b"BC":
-                size = struct.unpack_from("<H", data, i + 4)[0] + 1
+                size = struct.unpack_from("<H", extra, i + 4)[0] + 1
             i += 4 + n
         if size is None:
             raise ValueError("not a block of a BAM file")
-        yield zlib.decompress(data[at + 12 + extra : at + size - 8], -15)
-        at += size
+        yield at, zlib.decompress(f.read(size - 12 - len(extra))[:-8], -15)
 
 
 class _Stream:
-    def __init__(self, data: bytes) -> None:
-        self.parts, self.held, self.at = blocks(data), b"", 0
+    """Bytes between two virtual offsets (a block's place, and one in what it holds); one block or two in memory."""
+
+    def __init__(self, f: BinaryIO, start: int = 0, stop: int | None = None) -> None:
+        f.seek(start >> 16)
+        self.parts, self.held, self.at = blocks(f), b"", 0
+        self.skip = start & 0xFFFF
+        self.begun = 0  # bytes in front of ``held``
+        self.stop, self.limit = stop, None
+        #: Places of blocks in the stream, the last ones.
+        self.marks: list[tuple[int, int]] = []
+
+    def _more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        place, data = part
+        self.held, self.begun = self.held[self.at :], self.begun + self.at
+        self.at = 0
+        here = self.begun + len(self.held)
+        self.marks = [m for m in self.marks if m[0] + 0x10000 > self.begun] + [(here - self.skip, place)]
+        if self.stop is not None and place == self.stop >> 16:
+            self.limit = here - self.skip + (self.stop & 0xFFFF)
+        elif self.stop is not None and place > self.stop >> 16 and self.limit is None:
+            self.limit = here
+        self.held += data[self.skip :]
+        self.skip = 0
+        return True
 
     def take(self, n: int) -> bytes | None:
         while len(self.held) - self.at < n:
-            part = next(self.parts, None)
-            if part is None:
+            if not self._more():
                 return None
-            self.held, self.at = self.held[self.at :] + part, 0
         self.at += n
         return self.held[self.at - n : self.at]
 
+    def offset(self) -> int:
+        """The virtual offset of the next byte."""
+        while len(self.held) == self.at and self._more():
+            pass
+        now = self.begun + self.at
+        first, place = max((m for m in self.marks if m[0] <= now), default=(now, 0))
+        return place << 16 | now - first
+
+    def record(self) -> bytes | None:
+        """The next record that starts before the stop."""
+        size = self.take(4)
+        if size is None or self.limit is not None and self.begun + self.at - 4 >= self.limit:
+            return None
+        return self.take(struct.unpack("<i", size)[0])
+
 
 def _group(aux: bytes) -> str | None:
     i = 0
@@ -104,9 +152,8 @@ def _group(aux: bytes) -> str | None:
     return None
 
 
-def parse_bam(data: bytes, first: int, chrom: str | None = None, beg: int = 0, end: int = 1 << 31) -> tuple[str, Iterator[tuple]]:
-    """The header's text, and the records that overlap the region as rows; ``first`` is the first one's ord."""
-    s = _Stream(data)
+def _head(s: _Stream) -> tuple[str, list[str]]:
+    """The header's text and the names of the contigs; only the blocks that they are in are read."""
     if s.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     text = s.take(struct.unpack("<i", s.take(4))[0]).rstrip(b"\0").decode()
@@ -114,35 +161,106 @@ def parse_bam(data: bytes, first: int, chrom: str | None = None, beg: int = 0, e
     for _ in range(struct.unpack("<i", s.take(4))[0]):
         names.append(s.take(struct.unpack("<i", s.take(4))[0])[:-1].decode())
         s.take(4)
+    return text, names
+
+
+def _rows(s: _Stream, names: Sequence[str], number: int, chrom: str | None, beg: int, end: int) -> Iterator[tuple]:
+    """The records that overlap the region; ``number`` is the first one's ord."""
+    number -= 1
+    while (r := s.record()) is not None:
+        number += 1
+        tid, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiBBHHHi", r)
+        ref = names[tid] if tid >= 0 else None
+        if chrom is not None and (ref != chrom or pos >= end):
+            continue
+        i = 32 + name
+        cigar = [{"op": OPS[x & 15], "len": x >> 4} for x in struct.unpack_from(f"<{ops}I", r, i)]
+        last = pos + sum(x["len"] for x in cigar if x["op"] in "MDN=X")
+        if chrom is not None and last <= beg:
+            continue
+        i += 4 * ops
+        packed = r[i : i + (length + 1) // 2]
+        seq = "".join(CODES[b >> 4] + CODES[b & 15] for b in packed)[:length]
+        i += (length + 1) // 2
+        qual = [] if length and r[i] == 255 else list(r[i : i + length])
+        yield r[32 : 32 + name - 1].decode(), flag, ref, pos, mapq, cigar, seq, qual, _group(r[i + length :]), last, number
+
+
+class Index:
+    """A BAI index: of each contig the file's chunks by bin, and the first record that reaches each 16,384 bases."""
 
-    def rows() -> Iterator[tuple]:
-        number = first - 1
-        while (size := s.take(4)) is not None:
-            r = s.take(struct.unpack("<i", size)[0])
-            number += 1
-            tid, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiBBHHHi", r)
-            ref = names[tid] if tid >= 0 else None
-            if chrom is not None and (ref != chrom or pos >= end):
-                continue
-            i = 32 + name
-            cigar = [(OPS[x & 15], x >> 4) for x in struct.unpack_from(f"<{ops}I", r, i)]
-            last = pos + sum(n for op, n in cigar if op in "MDN=X")
-            if chrom is not None and last <= beg:
-                continue
-            i += 4 * ops
-            packed = r[i : i + (length + 1) // 2]
-            seq = "".join(CODES[b >> 4] + CODES[b & 15] for b in packed)[:length]
-            i += (length + 1) // 2
-            qual = [] if length and r[i] == 255 else list(r[i : i + length])
-            yield r[32 : 32 + name - 1].decode(), flag, ref, pos, mapq, cigar, seq, qual, _group(r[i + length :]), last, number
-
-    return text, rows()
-
-
-class _File(InputPartition):
-    def __init__(self, number: int, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
+        if data[:4] != b"BAI\1":
+            raise ValueError("not a BAM index")
+        self.bins: list[dict[int, list[tuple[int, int]]]] = []
+        self.linear: list[list[int]] = []
+        at = 8
+        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+            bins = {}
+            many = struct.unpack_from("<i", data, at)[0]
+            at += 4
+            for _ in range(many):
+                number, chunks = struct.unpack_from("<Ii", data, at)
+                found = struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)
+                bins[number] = list(zip(found[::2], found[1::2], strict=True))
+                at += 8 + 16 * chunks
+            many = struct.unpack_from("<i", data, at)[0]
+            self.bins.append(bins)
+            self.linear.append(list(struct.unpack_from(f"<{many}Q", data, at + 4)))
+            at += 4 + 8 * many
+
+    def reach(self, tid: int, beg: int, end: int) -> tuple[int, int] | None:
+        """From where to where records of a contig may overlap [beg, end)."""
+        wanted = {0, *(first + (x >> shift) for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)) for x in range(beg >> shift << shift, min(end, 1 << 29), 1 << shift))}
+        linear = self.linear[tid]
+        least = linear[beg >> 14] if beg >> 14 < len(linear) else 0
+        chunks = [c for number in wanted & self.bins[tid].keys() for c in self.bins[tid][number] if c[1] > least]
+        return (max(least, min(c[0] for c in chunks)), max(c[1] for c in chunks)) if chunks else None
+
+    def cuts(self) -> list[int]:
+        """Where records start, one for each 16,384 bases at most."""
+        return sorted({x for linear in self.linear for x in linear if x})
+
+
+def index_bam(data: bytes) -> bytes:
+    """The index of a sorted BAM file: for exports of small regions and for tests."""
+    s = _Stream(io.BytesIO(data))
+    _, names = _head(s)
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in names]
+    linear: list[list[int]] = [[] for _ in names]
+    while True:
+        start = s.offset()
+        r = s.record()
+        if r is None:
+            break
+        tid, pos, name, _, _, ops = struct.unpack_from("<iiBBHH", r)
+        if tid < 0:
+            continue
+        end = pos + max(1, sum(x >> 4 for x in struct.unpack_from(f"<{ops}I", r, 32 + name) if OPS[x & 15] in "MDN=X"))
+        number = next((first + (pos >> shift) for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)) if pos >> shift == (end - 1) >> shift), 0)
+        chunks = bins[tid].setdefault(number, [])
+        if chunks and chunks[-1][1] == start:
+            chunks[-1][1] = s.offset()
+        else:
+            chunks.append([start, s.offset()])
+        linear[tid] += [0] * (((end - 1) >> 14) + 1 - len(linear[tid]))
+        for k in range(pos >> 14, ((end - 1) >> 14) + 1):
+            linear[tid][k] = linear[tid][k] or start
+    out = [b"BAI\1", struct.pack("<i", len(names))]
+    for own, places in zip(bins, linear, strict=True):
+        out.append(struct.pack("<i", len(own)))
+        for number, chunks in own.items():
+            out += [struct.pack("<Ii", number, len(chunks)), *(struct.pack("<QQ", *c) for c in chunks)]
+        out += [struct.pack("<i", len(places)), struct.pack(f"<{len(places)}Q", *places)]
+    return b"".join(out)
+
+
+class _Part(InputPartition):
+    """The records of a file that start between two virtual offsets."""
+
+    def __init__(self, number: int, path: str, names: list[str], start: int, stop: int | None) -> None:
         super().__init__(number)
-        self.number, self.path = number, path
+        self.number, self.path, self.names, self.start, self.stop = number, path, names, start, stop
 
 
 def _store(path: str):
@@ -151,34 +269,79 @@ def _store(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
+def _open(path: str):
+    store, at = _store(path)
+    return store.open_input_file(at)
+
+
+def _index(path: str) -> Index | None:
+    """The index beside a file, if there is one."""
+    import pyarrow.fs as pafs
+
+    for name in (path + ".bai", path.removesuffix(".bam") + ".bai"):
+        store, at = _store(name)
+        if store.get_file_info(at).type == pafs.FileType.File:
+            with store.open_input_stream(at) as f:
+                return Index(f.read())
+    return None
+
+
 class BamReader(DataSourceReader):
-    """A partition for each file.
+    """Partitions of about ``split`` bytes of a file that has an index, which also leads to a region; else one for each file.
 
     A region comes as options and not as pushed filters: the engine keeps one
     reader for all plans of a DataFrame, so a filter of one would act in the others.
     """
 
-    def __init__(self, paths: Sequence[str], chrom: str | None, beg: int, end: int) -> None:
-        self.paths, self.chrom, self.beg, self.end = paths, chrom, beg, end
+    def __init__(self, paths: Sequence[str], chrom: str | None, beg: int, end: int, split: int) -> None:
+        self.paths, self.chrom, self.beg, self.end, self.split = paths, chrom, beg, end, split
 
     def partitions(self) -> list[InputPartition]:
+        import pyarrow.fs as pafs
+
         found = []
         for path in self.paths:
-            import pyarrow.fs as pafs
-
             store, at = _store(path)
             info = store.get_file_info(at)
             if info.type == pafs.FileType.Directory:
                 found += sorted(path.rstrip("/") + "/" + x.base_name for x in store.get_file_info(pafs.FileSelector(at)) if x.base_name.endswith(".bam"))
             else:
                 found.append(path)
-        return [_File(i, x) for i, x in enumerate(found)]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        store, at = _store(partition.path)
-        with store.open_input_stream(at) as f:
-            data = f.read()
-        yield from parse_bam(data, partition.number << 40, self.chrom, self.beg, self.end)[1]
+        out: list[InputPartition] = []
+        for path in found:
+            with _open(path) as f:
+                s = _Stream(f)
+                _, names = _head(s)
+                start = s.offset()
+            for a, b in self._spans(_index(path), names, start):
+                out.append(_Part(len(out), path, names, a, b))
+        # a reader has a partition at least
+        return out or [_Part(0, "", [], 0, 0)]
+
+    def _spans(self, index: Index | None, names: list[str], start: int) -> list[tuple[int, int | None]]:
+        if self.chrom is not None and self.chrom not in names:
+            return []
+        if index is None:
+            return [(start, None)]
+        stop = None
+        if self.chrom is not None:
+            reach = index.reach(names.index(self.chrom), self.beg, self.end)
+            if reach is None:
+                return []
+            start, stop = reach
+        cuts = [start]
+        for x in index.cuts():
+            if x > start and (stop is None or x < stop) and (x >> 16) - (cuts[-1] >> 16) >= self.split:
+                cuts.append(x)
+        return list(zip(cuts, [*cuts[1:], stop], strict=True))
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        with _open(partition.path) as f:
+            rows = _rows(_Stream(f, partition.start, partition.stop), partition.names, partition.number << 36, self.chrom, self.beg, self.end)
+            while some := list(itertools.islice(rows, 4096)):
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
 class BamSource(DataSource):
@@ -193,7 +356,7 @@ class BamSource(DataSource):
 
     def reader(self, schema) -> BamReader:
         o = self.options
-        return BamReader([x for x in o["path"].split(",") if x], o.get("chrom"), int(o.get("beg", 0)), int(o.get("end", 1 << 31)))
+        return BamReader([x for x in o["path"].split(",") if x], o.get("chrom"), int(o.get("beg", 0)), int(o.get("end", 1 << 31)), int(o.get("split", SPLIT)))
 
 
 def read_bam(spark: SparkSession, path: str, region: Region | None = None) -> DataFrame:
@@ -206,10 +369,11 @@ def read_bam(spark: SparkSession, path: str, region: Region | None = None) -> Da
 
 
 def bam_header_text(path: str) -> str:
-    store, at = _store(path)
-    with store.open_input_stream(at) as f:
-        data = f.read()
-    return parse_bam(data, 0)[0]
+    """From the file's first blocks; of a folder, from its first file."""
+    if not path.endswith(".bam"):
+        path = BamReader([path], None, 0, 0, SPLIT).partitions()[0].path
+    with _open(path) as f:
+        return _head(_Stream(f))[0]
 
 
 def encode_bam(header: str, contigs: Sequence[tuple[str, int]], records: Sequence[dict]) -> bytes:

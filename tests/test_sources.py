@@ -153,3 +153,57 @@ def test_stream_recomputes_touched_windows(spark, tmp_path):
 
     assert feed([("c", 5, 1), ("c", 150, 2)]) == {0: 1, 1: 2}
     assert feed([("c", 7, 10), ("c", 950, 4)]) == {0: 11, 1: 2, 9: 4}
+
+
+def test_indexed_bam_in_parts(spark, tmp_path):
+    rng = random.Random(4)
+    contigs = [("c1", 400_000), ("c2", 5_000), ("c3", 100)]
+    records = [{"qname": f"q{i}", "flag": 0, "chrom": c, "pos": p, "mapq": 60, "cigar": [("M", 30), ("N", 200), ("M", 20)], "seq": "".join(rng.choice("ACGT") for _ in range(50)), "qual": [30] * 50, "read_group": "rg1"} for i, (c, p) in enumerate(sorted([("c1", rng.randrange(399_000)) for _ in range(6000)] + [("c2", rng.randrange(4_000)) for _ in range(300)]))]
+    data = alignments.encode_bam("@HD\tVN:1.0", contigs, records)
+    (tmp_path / "one").mkdir()
+    path = str(tmp_path / "one" / "a.bam")
+    open(path, "wb").write(data)
+    plain = [tuple(r) for r in alignments.read_bam(spark, path).orderBy("ord").collect()]
+    assert [r[0] for r in plain] == [r["qname"] for r in records]
+    assert spark.read.format("bam").load(path).rdd.getNumPartitions() == 1
+    open(path + ".bai", "wb").write(alignments.index_bam(data))
+    parts = spark.read.format("bam").option("split", 20_000).load(path)
+    assert parts.rdd.getNumPartitions() >= 3
+    got = [tuple(r) for r in parts.orderBy("ord").collect()]
+    assert [r[:-1] for r in got] == [r[:-1] for r in plain]
+    for region in (Region("c1", 100_000, 130_000), Region("c1", 0, 1), Region("c2", 4_100, 4_200), Region("c1", 399_900, 400_000), Region("c3", 0, 100), Region("c1", 16_384, 16_385)):
+        for split in (1, 60_000, 1 << 30):
+            found = spark.read.format("bam").options(chrom=region.chrom, beg=region.beg, end=region.end, split=split).load(path).orderBy("ord").collect()
+            want = [r["qname"] for r in records if r["chrom"] == region.chrom and r["pos"] < region.end and r["pos"] + 250 > region.beg]
+            assert [r["qname"] for r in found] == want, (region, split)
+    assert alignments.bam_header_text(path) == alignments.bam_header_text(str(tmp_path / "one")) == "@HD\tVN:1.0"
+
+
+def test_reads_without_read_group_lines(spark, tmp_path):
+    ref, records = made_reads()
+    (tmp_path / "ref.fa").write_text(">c1\n" + ref + "\n")
+    lines = ["@SQ\tSN:c1\tLN:300"] + ["\t".join([r["qname"], "0", "c1", str(r["pos"] + 1), "60", f"{len(r['seq'])}M", "*", "0", "0", r["seq"], "D" * len(r["seq"])]) for r in records]
+    (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
+    out = cli.lines(spark, ["nucdiv", "-f", str(tmp_path / "ref.fa"), "-m", "1", "-s", "3", str(tmp_path / "x.sam"), "c1"]).collect()
+    assert len(out) == 1 and "ns[x.sam]:\t300" in out[0]["value"]
+
+
+def test_infinite_sites(spark):
+    from demeframe.operators import sites as S
+
+    calls = spark.createDataFrame([("c", 1, 0, 0, True), ("c", 1, 1, 1, True), ("c", 2, 0, 1, True), ("c", 2, 2, 2, True), ("c", 3, 0, 1, True), ("c", 3, 2, 2, False)], "chrom string, pos int, a1 int, a2 int, pass boolean")
+    assert S.infinite_sites(calls, Params()).count() == 6
+    assert {r["pos"] for r in S.infinite_sites(calls, Params(infinite_sites=True)).collect()} == {1, 3}
+
+
+def test_sql_functions(spark):
+    from demeframe.functions import genomics as G
+    from demeframe.operators import tree
+
+    G.register_sql(spark)
+    tree.register_sql(spark)
+    a1, a2, e1, e2 = G.tajima_constants(10)
+    row = spark.sql("select tajima_d(12, 10, 1.5D) as d, tajima_d(0, 10, 1.5D) as none, tajima_d(3, 3, 1D) as few, jukes_cantor(0.1D) as jc").first()
+    assert abs(row["d"] - 1.5 / (e1 * 12 + e2 * 12 * 11) ** 0.5) < 1e-12 and row["none"] is None and row["few"] is None and row["jc"] > 0.1
+    got = spark.sql("select nj_newick(array('r', 'a', 'b'), array(0D, 3D, 4D, 3D, 0D, 5D, 4D, 5D, 0D)) as t, nj_newick(array('r', 'a'), array(0D, 1D, 1D, 0D)) as n").first()
+    assert got["t"] == "(r:1.00000,a:2.00000,b:3.00000);" and got["n"] is None
