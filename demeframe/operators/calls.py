@@ -70,12 +70,6 @@ def _log_factorials() -> str:
     return f"array({', '.join(f'{math.lgamma(i + 1)!r}D' for i in range(DEEPEST + 1))})"
 
 
-def log_binomial(n: Column, k: Column, factorials: str = "log_factorials") -> Column:
-    """From a column with the array of log factorials."""
-    at = lambda x: F.element_at(F.col(factorials), x.cast("int") + 1)
-    return at(n) - at(k) - at(n - k)
-
-
 def likelihoods(bases: DataFrame, p: Params) -> DataFrame:
     """Per chrom, pos, sample_id: depth, rms and the phred likelihoods lk_ij of the ten genotypes.
 
@@ -100,28 +94,29 @@ def likelihoods(bases: DataFrame, p: Params) -> DataFrame:
     table = F.broadcast(error_frame(bases.sparkSession, max(1, deepest)))  # 60 * deepest rows
     term = strand_weight(F.col("w")) * F.element_at("beta", F.col("c") + 1)
     scored = ranked.join(table, ["qq", "n"]).withColumn("term", term)
-    sums = [F.sum(F.when(F.col("base") == b, F.col("term")).otherwise(F.lit(0.0))).alias(f"s{b}") for b in range(4)]
-    counts = [F.count_if(F.col("base") == b).alias(f"c{b}") for b in range(4)]
-    rms = F.floor(F.sqrt(F.sum(F.col("mapq") * F.col("mapq")) / F.count("*")) + 0.499).cast("int")
-    cells = scored.groupBy(*cell).agg(F.count("*").cast("int").alias("depth"), rms.alias("rms"), *sums, *counts)
-    out = []
-    for i, j in GENOTYPES:
-        others = sum((F.col(f"s{k}") for k in range(4) if k not in (i, j)), F.lit(0.0))
-        if i != j:
-            n, k = F.col(f"c{i}") + F.col(f"c{j}"), F.col(f"c{j}")
-            others = others - F.lit(4.343) * (log_binomial(n, k) - n * F.lit(math.log(2)))
-        out.append(F.greatest(others, F.lit(0.0)).alias(f"lk_{i}{j}"))
-    return cells.withColumn("log_factorials", F.expr(_log_factorials())).select(*cell, "depth", "rms", *out)
+    # texts rather than column objects: a plan of this size is otherwise built for longer than it runs
+    sums = [f"sum(case when base = {b} then term else 0D end) as s{b}" for b in range(4)]
+    counts = [f"count_if(base = {b}) as c{b}" for b in range(4)]
+    rms = "cast(floor(sqrt(sum(mapq * mapq) / count(*)) + 0.499D) as int) as rms"
+    cells = scored.groupBy(*cell).agg(*map(F.expr, ["cast(count(*) as int) as depth", rms, *sums, *counts]))
+    return cells.withColumn("log_factorials", F.expr(_log_factorials())).selectExpr(*cell, "depth", "rms", *[f"{_likelihood(i, j)} as lk_{i}{j}" for i, j in GENOTYPES])
+
+
+def _likelihood(i: int, j: int) -> str:
+    """Of a genotype: the other bases' errors, and for two alleles the chance of so many reads of each."""
+    others = " + ".join(f"s{k}" for k in range(4) if k not in (i, j))
+    if i == j:
+        return f"greatest({others}, 0D)"
+    at = lambda n: f"element_at(log_factorials, cast({n} + 1 as int))"
+    return f"greatest({others} - 4.343D * ({at(f'c{i} + c{j}')} - {at(f'c{j}')} - {at(f'c{i}')} - (c{i} + c{j}) * {math.log(2)!r}D), 0D)"
 
 
 def consensus(cells: DataFrame) -> DataFrame:
     """The likeliest genotype (a1 <= a2; the first of equal ones) and snpq, the gap to the next."""
-    ranked = F.array_sort(F.array(*[F.struct(F.col(f"lk_{i}{j}").alias("lk"), F.lit(4 * i + j).alias("g")) for i, j in GENOTYPES]))
-    best, second = F.element_at(F.col("ranked"), 1), F.element_at(F.col("ranked"), 2)
-    with_rank = cells.withColumn("ranked", ranked)
-    return with_rank.select(
-        "chrom", "pos", "sample_id", F.floor(best["g"] / F.lit(4)).cast("int").alias("a1"), (best["g"] % 4).alias("a2"), "depth", F.floor(second["lk"] - best["lk"] + 0.499).cast("int").alias("snpq"), "rms"
-    )
+    ranked = ", ".join(f"struct(lk_{i}{j} as lk, {4 * i + j} as g)" for i, j in GENOTYPES)
+    best, second = "element_at(ranked, 1)", "element_at(ranked, 2)"
+    with_rank = cells.withColumn("ranked", F.expr(f"array_sort(array({ranked}))"))
+    return with_rank.selectExpr("chrom", "pos", "sample_id", f"{best}.g div 4 as a1", f"{best}.g % 4 as a2", "depth", f"cast(floor({second}.lk - {best}.lk + 0.499D) as int) as snpq", "rms").withColumn("a1", F.col("a1").cast("int"))
 
 
 def call(pileup: DataFrame, p: Params) -> DataFrame:

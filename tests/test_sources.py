@@ -185,7 +185,7 @@ def test_reads_without_read_group_lines(spark, tmp_path):
     lines = ["@SQ\tSN:c1\tLN:300"] + ["\t".join([r["qname"], "0", "c1", str(r["pos"] + 1), "60", f"{len(r['seq'])}M", "*", "0", "0", r["seq"], "D" * len(r["seq"])]) for r in records]
     (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
     out = cli.lines(spark, ["nucdiv", "-f", str(tmp_path / "ref.fa"), "-m", "1", "-s", "3", str(tmp_path / "x.sam"), "c1"]).collect()
-    assert len(out) == 1 and "ns[x.sam]:\t300" in out[0]["value"]
+    assert len(out) == 1 and "ns[x.sam]:\t29" in out[0]["value"]
 
 
 def test_infinite_sites(spark):
