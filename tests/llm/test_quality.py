@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -94,3 +95,59 @@ def test_no_references(spark):
     docs = spark.createDataFrame([(1, "word " * 3, None)], "doc_id long, text string, lang string")
     assert q.quality(docs).collect()[0]["lang_ref"] is None
     assert q.quality(docs.limit(0)).count() == 0
+
+
+def brute_verdicts(rows):
+    """Whole results from plain counters and the distance of whole histograms."""
+    langs, chars = {}, {}
+    for _, text, lang in rows:
+        if lang is not None and text:
+            langs.setdefault(lang, Counter()).update(q.alnum_common(text.encode()))
+            chars[lang] = chars.get(lang, 0) + q.char_classes(text.encode())
+    refs = {}
+    for lang, n in langs.items():
+        total = sum(n.values())
+        often = {w: k for w, k in n.items() if k >= q.WORD_SHARE * total}
+        shares = np.array([*often.values(), total - sum(often.values())], float)
+        refs[lang] = (list(often), shares, q.distance(np.array([0.0] * len(often) + [1.0]), shares))
+    out = {}
+    for d, text, _ in rows:
+        base = brute(text or "")
+        failed = base[0] < q.MIN_BASE_WORDS or 100 * base[4] > 50 * base[0]
+        words, classes = q.alnum_common((text or "").encode()), q.char_classes((text or "").encode())
+        near = []
+        for lang in sorted(refs):
+            often, shares, none = refs[lang]
+            n = Counter(words)
+            mine = np.array([n[w] for w in often] + [len(words) - sum(n[w] for w in often)], float)
+            c = q.distance(classes, chars[lang]) if classes.sum() >= q.MIN_CHARS else None
+            w = q.distance(mine, shares) if len(words) >= q.MIN_WORDS else None
+            near.append(((c or 0) + ((w / none if none else 1.0) if w is not None else 0), lang, c, w, q.MAX_WORD_DISTANCE * none))
+        _, lang, c, w, limit = min(near, key=lambda x: x[0])
+        judged = c is not None or w is not None
+        far = judged and ((c or 0) > q.MAX_CHAR_DISTANCE or w is not None and w > limit)
+        out[d] = (*base, failed, not failed and not far, lang if judged else None, c, w)
+    return out
+
+
+def test_whole_results_match_brute_force(spark):
+    rng = random.Random(8)
+    vocab = {x: [f"{x}{k}" for k in range(12)] for x in ("a", "b", "c")}
+    rare = lambda: "".join(rng.choice("eioulnrst") for _ in range(6))
+    prose = lambda x, n: " ".join(rng.choice(vocab[x]) if rng.random() < 0.5 else rare() for _ in range(n))
+    rows = [(i, prose(x, rng.randrange(20, 260)), x if rng.random() < 0.8 else None) for i in range(90) for x in [rng.choice("abc")]]
+    rows += [(100, " ".join(rare() for _ in range(200)), None), (101, "# | % & " * 100, "a"), (102, None, "b"), (103, "", None), (104, "x y z " * 80, "c"), (105, "DATA 12345 " * 3 + " ".join(str(rng.randrange(10**6)) for _ in range(150)), None)]
+    got = q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    want = brute_verdicts(rows)
+    assert {r["kept"] for r in got} == {True, False}
+    for r in got:
+        w = want[r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"], r["lang_ref"]) == w[:8]
+        for x, y in ((r["char_distance"], w[8]), (r["word_distance"], w[9])):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-7)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "one two three four " * 100_000, "en"), (2, "z" * 1_000_000, "en"), (3, "a line of words\n" * 50_000, "en")]
+    got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1]["n_words"] == got[1]["n_repeat_words"] == 400_000 and got[2]["n_words"] == 1 and got[3]["n_dup_lines"] == 49_999
