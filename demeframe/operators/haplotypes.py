@@ -14,10 +14,7 @@ GROUP = ["win_id", "pop_id"]
 
 
 def retained(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
-    """num_sites and snps of each window and population: a retained site has a row for each population.
-
-    It reads the columns that the haplotypes read, so both share an exchange.
-    """
+    """num_sites and snps of each window and population: a retained site has a row for each population."""
     return S.per_pop(found, pops, p, "complete").groupBy(*GROUP).agg(F.count("*").alias("num_sites"), F.count_if(F.expr("fq > 0 and covered and f > 0 and f < n")).alias("snps"))
 
 
@@ -30,9 +27,21 @@ def haplotypes(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
     return one.select(*GROUP, "sample_id", F.array_join(F.transform("sites", lambda x: G.has_bit(x["mask"], F.col("sample_id")).cast("int").cast("string")), "").alias("hap"))
 
 
+def haplotype_keys(found: DataFrame, pops: list[S.Pop], p: Params) -> DataFrame:
+    """win_id, pop_id, sample_id, hap: a number that equal haplotypes share, without their letters.
+
+    It joins the hashes of the positions where the sample is derived, in any order, so sites are summed up where
+    they are and no row holds a window; two haplotypes that differ share it by a chance of 2^-64.
+    """
+    rows = S.per_pop(found, pops, p, "complete").where("fq > 0 and covered and f > 0 and f < n")
+    samples = F.filter(F.sequence(F.lit(0), F.lit(G.MOST_SAMPLES - 1)), lambda i: G.has_bit(F.col("pop_mask"), i))
+    one = rows.select(*GROUP, "mask", F.xxhash64("pos").alias("at"), F.explode(samples).alias("sample_id"))
+    return one.groupBy(*GROUP, "sample_id").agg(F.bit_xor(F.when(G.has_bit(F.col("mask"), F.col("sample_id")), F.col("at")).otherwise(F.lit(0).cast("long"))).alias("hap"))
+
+
 def diversity(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> DataFrame:
     """K and Kdiv, the haplotype diversity.  A population that varies nowhere has one haplotype."""
-    per = haplotypes(found, pops, p).groupBy(*GROUP, "hap").agg(F.count("*").alias("c")).groupBy(*GROUP).agg(F.count("*").alias("k"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    per = haplotype_keys(found, pops, p).groupBy(*GROUP, "hap").agg(F.count("*").alias("c")).groupBy(*GROUP).agg(F.count("*").alias("k"), F.sum(F.col("c") * F.col("c")).alias("squares"))
     out = on_spine(spine, S.literal(pops), retained(found, pops, p).join(per, GROUP, "left"), ["pop_id"], ["num_sites"])
     n = F.col("n").cast("double")
     diverse = F.lit(1.0) - F.coalesce(F.col("squares").cast("double") / (n * n), F.lit(1.0))
@@ -52,7 +61,7 @@ def ehhs(found: DataFrame, pops: list[S.Pop], spine: DataFrame, p: Params) -> Da
     top = splits.groupBy(*GROUP, "n").agg(F.max_by("split", F.struct(F.col("c"), -F.col("at"))).alias("split"))
     x, n = G.bits(F.col("split")).cast("double"), F.col("n").cast("double")
     site = F.lit(1.0) - (F.lit(1.0) - (x * x + (n - x) * (n - x)) / (n * n)) * F.try_divide(n, n - 1)
-    haps = haplotypes(found, pops, p).groupBy(*GROUP, "hap").agg(F.count("*").alias("c")).groupBy(*GROUP).agg(F.sum(F.col("c") * F.col("c")).alias("squares"))
+    haps = haplotype_keys(found, pops, p).groupBy(*GROUP, "hap").agg(F.count("*").alias("c")).groupBy(*GROUP).agg(F.sum(F.col("c") * F.col("c")).alias("squares"))
     whole = F.lit(1.0) - (F.lit(1.0) - F.col("squares").cast("double") / (n * n)) * F.try_divide(n, n - 1)
     per = top.join(haps, GROUP).select(*GROUP, F.try_divide(whole, site).alias("ehhs"))
     out = on_spine(spine, S.literal(pops), retained(found, pops, p).join(per, GROUP, "left"), ["pop_id"], ["num_sites"])
