@@ -15,9 +15,10 @@ Documents with equal shingle sets form one class; classes are searched.
    and candidates found often enough are probed in the long ones by binary search.
    L is the number that makes merged entries and expected probes cheapest together.
    A component beyond GROUP sets is searched by its ties (the sets that share one, for
-   each of them) if these make fewer pairs and fewer copies of sets than chunks would, and what is still beyond GROUP
-   is cut by size band and hash into chunks, each pair of chunks that can hold a link
-   one task.  Each pair is looked at in one task only, or counted in one: exact at any size.
+   each of them) if these make fewer pairs than chunks would and copy a set COPIES times at most on average, and what is
+   still beyond GROUP is cut by size band and hash into chunks.  A chunk goes into a file of the shared folder once; the
+   pairs of chunks that can hold a link are the tasks, and read their two files: disk grows with the sets, and only the
+   work with their square.  Each pair is looked at in one task only, or counted in one: exact at any size.
 4. A task tells each class how many documents it found linked, and the least class that it
    reaches there, so a group's output is as long as the group; these edges join classes to
    components (:mod:`.components`).
@@ -40,12 +41,16 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,6 +65,8 @@ PREFIX = 25
 SHARD, HOT, HOT_RANK = 700_000, 64, 2**31
 #: Sets, and shingles in them, that one task searches.
 GROUP, GROUP_SHINGLES = 3_000, 3_000_000
+#: Copies of a set that a search by ties may make, on average; pairs of chunks that a task searches, more or less.
+COPIES, PAIRS = 4, 16
 #: Owner of a token without a class.
 NONE = 65535
 #: Merged entries that one probe costs; ids that the merge takes at once.
@@ -266,6 +273,9 @@ class Group:
         place[by_token] = np.arange(len(tokens))
         self.kind, self.end = kind[place], end[kind[place]]
         self.begin = np.searchsorted(self.keys, self.kind * self.m + self.queries) if self.across else place + 1
+        # a link needs as many shingles that something behind the set has too
+        behind = np.add.reduceat((self.end > self.begin).astype(np.int64), self.cut[:-1])
+        self.hopeful = np.flatnonzero((behind >= -(-PERCENT * self.n // 100))[: self.queries])
 
     def linked(self, q: int) -> np.ndarray:
         """The sets behind ``q`` that it is linked with."""
@@ -333,7 +343,7 @@ def search(sets: list[np.ndarray], docs: np.ndarray, side: np.ndarray, own: Call
     if len(sets) < 2 or len(np.unique(side)) < 2 and side[0] < 2:
         return links, root
     group = Group(sets, side)
-    for q in range(group.queries):
+    for q in group.hopeful.tolist():
         found = group.order[group.linked(q)]
         if not len(found):
             continue
@@ -348,33 +358,95 @@ def search(sets: list[np.ndarray], docs: np.ndarray, side: np.ndarray, own: Call
     return links, root
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, least, links) of the classes with links, from rows in order of group."""
-
-    def done(token: int | None, rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
-        names = sorted(rows)
-        sets, docs, side, ties = zip(*(rows[c] for c in names), strict=True)
-        own = None
-        if token is not None:
-            # links of sets that share several ties are counted with the least one
-            before = [frozenset(x for x in t if x < token) for t in ties]
-            own = lambda i, found: [before[i].isdisjoint(before[j]) for j in found]
-        links, root = search(list(sets), np.array(docs, np.int64), np.array(side), own)
-        kept = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
-        if len(kept):
-            of = np.array(names, np.int64)
-            yield pa.record_batch({"cls": pa.array(of[kept]), "least": pa.array(of[root[kept]]), "links": pa.array(links[kept])})
-
-    held, token, rows = None, None, {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["group"] != held:
+#: Of a set in a search: its class, documents, ties and shingles.
+_SET = ["cls", "docs", "ties", "shingles"]
+#: (side) All pairs of a group count, those across two sides, or the group is a chunk.
+ALL, CHUNK = 2, 3
+
+
+def _found(token: int | None, rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """(cls, least, links) of the classes with links; ``rows`` has each class's set, documents, side and ties."""
+    names = sorted(rows)
+    sets, docs, side, ties = zip(*(rows[c] for c in names), strict=True)
+    own = None
+    if token is not None:
+        # links of sets that share several ties are counted with the least one
+        before = [frozenset(x for x in t if x < token) for t in ties]
+        own = lambda i, found: [before[i].isdisjoint(before[j]) for j in found]
+    links, root = search(list(sets), np.array(docs, np.int64), np.array(side), own)
+    kept = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
+    if len(kept):
+        of = np.array(names, np.int64)
+        yield pa.record_batch({"cls": pa.array(of[kept]), "least": pa.array(of[root[kept]]), "links": pa.array(links[kept])})
+
+
+def _chunk_file(folder: str, name: str) -> str:
+    return f"{folder}/{re.sub('[:/]', '_', name)}"
+
+
+def _write_chunk(path: str, batches: list[pa.RecordBatch]) -> None:
+    task = TaskContext.get()
+    store, at = common.store(path)
+    mine = f"{at}.{task.stageId()}-{task.taskAttemptId()}"
+    with store.open_output_stream(mine) as f, pa.ipc.new_stream(f, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    store.move(mine, at)
+
+
+@lru_cache(2)
+def _chunk(path: str) -> list[tuple]:
+    """(cls, set, documents, ties) of a chunk's file.  No file: no rows."""
+    store, at = common.store(path)
+    if store.get_file_info(at).type == pafs.FileType.NotFound:
+        return []
+    with store.open_input_stream(at) as f, pa.ipc.open_stream(f) as read:
+        return [(r["cls"], np.frombuffer(r["shingles"], np.uint64), r["docs"], r["ties"] or ()) for b in read for r in b.to_pylist()]
+
+
+def _search(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(cls, least, links) of the classes with links, from rows in order of group; chunks become files of ``folder``."""
+
+    def done(held: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, token, side = held
+        if side == CHUNK:
+            _write_chunk(_chunk_file(folder, name), parts)
+        else:
+            yield from _found(token, {r["cls"]: (np.frombuffer(r["shingles"], np.uint64), r["docs"], side, r["ties"] or ()) for b in parts for r in b.to_pylist()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+        for batch in batches:
+            heads = list(zip(*(batch.column(c).to_pylist() for c in ("group", "token", "side")), strict=True))
+            start = 0
+            for head, same in itertools.groupby(heads):
+                if head != held:
+                    if parts:
+                        yield from done(held, parts)
+                    held, parts = head, []
+                end = start + len(list(same))
+                parts.append(batch.slice(start, end - start).select(_SET))
+                start = end
+        if parts:
+            yield from done(held, parts)
+
+    return run
+
+
+def _search_chunks(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same of pairs of chunks (first, second, token)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                one, two = r["first"], r["second"]
+                sides = [(one, ALL)] if one == two else [(one, 0), (two, 1)]
+                rows = {c: (s, docs, side, ties) for name, side in sides for c, s, docs, ties in _chunk(_chunk_file(folder, name))}
                 if rows:
-                    yield from done(token, rows)
-                held, token, rows = r["group"], r["token"], {}
-            rows[r["cls"]] = (np.frombuffer(r["shingles"], np.uint64), r["docs"], r["side"], r["ties"] or ())
-    if rows:
-        yield from done(token, rows)
+                    yield from _found(r["token"], rows)
+        _chunk.cache_clear()
+
+    return run
 
 
 def _sets() -> Callable[[pa.Table], pa.Table]:
@@ -389,38 +461,44 @@ def _sets() -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-#: A search task that a class takes part in: its name, the tie that the task is for, and the class's side there (2: all pairs count).
+#: A search task that a class takes part in: its name, the tie that the task is for, and the class's side there (ALL, or CHUNK: the task is to write a chunk).
 TASK = "struct<group:string,token:bigint,side:int>"
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """(cls, task) from (cls, unit, token, n): one task a unit, or a task for each pair of its chunks that can hold links."""
+def _name(band: Column, chunk: Column) -> Column:
+    return F.concat_ws(":", F.col("unit"), band.cast("string"), chunk.cast("string"))
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, task) from (cls, unit, token, n): one task a unit, or one for each of its chunks; and (unit, token, band, chunks, above) of these.
+
+    ``above`` are the chunks of the next band, which may have links with those of this one.
+    """
     sizes = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     rows = rows.join(sizes, "unit").withColumn("large", (F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES))
-    task = lambda name, side: F.struct(name.alias("group"), F.col("token").alias("token"), F.lit(side).alias("side"))
-    small = rows.where("not large").select("cls", task(F.col("unit"), 2).alias("task"))
+    task = lambda name, side: F.struct(name.alias("group"), F.col("token").alias("token"), F.lit(side).alias("side")).cast(TASK)
+    small = rows.where("not large").select("cls", task(F.col("unit"), ALL).alias("task"))
     # sets that link differ by a band of sizes at most
     cut = rows.where("large").select("cls", "unit", "token", "n", F.floor(F.ln("n") / float(1.001 * np.log(100 / PERCENT))).alias("band"))
-    per = cut.groupBy("unit", "band").agg(F.ceil(F.greatest(F.count("*") / (GROUP // 2), F.sum("n") / (GROUP_SHINGLES // 2))).alias("chunks"))
+    per = cut.groupBy("unit", "band").agg(F.first("token").alias("token"), F.ceil(F.greatest(F.count("*") / (GROUP // 2), F.sum("n") / (GROUP_SHINGLES // 2))).alias("chunks"))
     up = per.select("unit", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above"))
-    down = per.select("unit", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
-    cut = cut.join(per, ["unit", "band"]).join(up, ["unit", "band"], "left").join(down, ["unit", "band"], "left").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")))
-    name = lambda kind, band, a, b: F.concat_ws(":", F.col("unit"), F.lit(kind), band.cast("string"), a.cast("string"), b.cast("string"))
-    chunk, band, one = F.col("chunk"), F.col("band"), F.lit(1).cast("long")
-    # none where there is no such chunk
-    others = lambda least, most, make: F.when(F.coalesce(most, least - 1) >= least, F.transform(F.sequence(least, F.greatest(most, least)), make)).otherwise(F.array().cast(f"array<{TASK}>"))
-    tasks = F.concat(
-        F.array(task(name("=", band, chunk, chunk), 2)),
-        others(F.lit(0).cast("long"), chunk - one, lambda x: task(name("=", band, x, chunk), 1)),
-        others(chunk + one, F.col("chunks") - one, lambda x: task(name("=", band, chunk, x), 0)),
-        others(F.lit(0).cast("long"), F.col("above") - one, lambda x: task(name("+", band, chunk, x), 0)),
-        others(F.lit(0).cast("long"), F.col("below") - one, lambda x: task(name("+", band - one, x, chunk), 1)),
-    )
-    return small.unionByName(cut.select("cls", F.explode(tasks).alias("task")))
-
-
-def _groups(clusters: DataFrame, ties: DataFrame) -> DataFrame:
-    """(cls, groups, ties): the search tasks of each class.  ``clusters`` has cls, component and n; ``ties`` token and cls.
+    chunks = common.written(per.join(up, ["unit", "band"], "left").select("unit", "token", "band", "chunks", F.coalesce("above", F.lit(0).cast("long")).alias("above")), "jaccard-chunks")
+    cut = cut.join(chunks.select("unit", "band", "chunks"), ["unit", "band"])
+    return small.unionByName(cut.select("cls", task(_name(F.col("band"), F.pmod(F.xxhash64("cls"), F.col("chunks"))), CHUNK).alias("task"))), chunks
+
+
+def _pairs(chunks: DataFrame) -> DataFrame:
+    """(first, part, second, token): the chunks that may have links with each other, or with themselves; a part has PAIRS of a first one's."""
+    one = F.lit(1).cast("long")
+    first = chunks.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - one)))
+    inside = F.transform(F.sequence(F.col("x"), F.col("chunks") - one), lambda y: _name(F.col("band"), y))
+    above = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("above"), one) - one), lambda y: _name(F.col("band") + 1, y))).otherwise(F.array().cast("array<string>"))
+    pairs = first.select(_name(F.col("band"), F.col("x")).alias("first"), F.posexplode(F.concat(inside, above)).alias("place", "second"), "token")
+    return pairs.select("first", F.floor(F.col("place") / PAIRS).alias("part"), "second", "token")
+
+
+def _groups(clusters: DataFrame, ties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, groups, ties): the search tasks of each class; and the chunks.  ``clusters`` has cls, component and n; ``ties`` token and cls.
 
     Large components are searched by their ties where these make fewer pairs.
     """
@@ -428,15 +506,16 @@ def _groups(clusters: DataFrame, ties: DataFrame) -> DataFrame:
     large = sizes.where((F.col("sets") > GROUP) | (F.col("shingles") > GROUP_SHINGLES))
     tied = ties.join(clusters.join(large, "component").select("cls", "n", "component", "sets"), "cls")
     pairs = tied.groupBy("component", "sets", "token").agg(F.count("*").cast("double").alias("here")).groupBy("component", "sets").agg(F.sum(F.col("here") * F.col("here")).alias("pairs"), F.sum("here").alias("copies"))
-    # chunks of half a group meet each other, so that is how often they copy a set
-    cheaper = (F.col("pairs") < F.col("sets").cast("double") * F.col("sets")) & (F.col("copies") <= F.col("sets").cast("double") * F.col("sets") / (GROUP // 2))
+    # a chunk holds a set once, at any size; ties copy it
+    cheaper = (F.col("pairs") < F.col("sets").cast("double") * F.col("sets")) & (F.col("copies") <= F.col("sets").cast("double") * COPIES)
     by_tie = pairs.where(cheaper).select("component")
     whole = clusters.join(by_tie, "component", "left_anti").select("cls", F.col("component").cast("string").alias("unit"), F.lit(None).cast("long").alias("token"), "n")
     parts = tied.join(by_tie, "component", "left_semi").select("cls", F.concat_ws("/", F.col("component").cast("string"), F.col("token").cast("string")).alias("unit"), "token", "n")
-    # a class's ties are a part of its shingles, its tasks a few, or as many as its ties and chunks are
+    # a class's ties are a part of its shingles, its tasks one, or as many as its ties are
     own = parts.groupBy("cls").agg(F.collect_list("token").alias("ties"))
-    tasks = _dealt(whole.unionByName(parts)).groupBy("cls").agg(F.collect_list("task").alias("groups"))
-    return tasks.join(own, "cls", "left").select("cls", "groups", "ties")
+    dealt, chunks = _dealt(whole.unionByName(parts))
+    tasks = dealt.groupBy("cls").agg(F.collect_list("task").alias("groups"))
+    return tasks.join(own, "cls", "left").select("cls", "groups", "ties"), chunks
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -454,11 +533,21 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # one document of each class to be searched, and its tasks
     members = near.withColumnRenamed("id", "cls").join(classes.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("docs")), "cls")
     members = common.written(members, "jaccard-members")
-    wanted = members.join(_groups(members, ties), "cls").select("doc_id", "cls", "docs", "ties", "groups")
+    groups, chunks = _groups(members, ties)
+    wanted = members.join(groups, "cls").select("doc_id", "cls", "docs", "ties", "groups")
     sets = common.map_tables(texts.join(wanted, "doc_id").select("text", "cls", "docs", "ties", "groups"), _sets, f"cls long, docs long, ties array<long>, groups array<{TASK}>, shingles binary", 4 << 20)
     dealt = sets.select("cls", "docs", "ties", "shingles", F.explode("groups").alias("task")).select("cls", "docs", "ties", "shingles", "task.*")
-    found = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(common.tidy(_search), "cls long, least long, links long")
-    return common.written(found, "jaccard-links")
+    folder = common.scratch(spark, "jaccard-sets")
+    store, at = common.store(folder)
+    store.create_dir(at, recursive=True)
+    kinds = "cls long, least long, links long"
+    found = common.written(dealt.repartition("group").sortWithinPartitions("group").mapInArrow(common.tidy(_search(folder)), kinds), "jaccard-links")
+    pairs = _pairs(chunks)
+    if not (many := pairs.count()):
+        return found
+    parts = max(spark.sparkContext.defaultParallelism, -(-many // PAIRS))
+    met = pairs.repartition(parts, "first", "part").sortWithinPartitions("first", "part").mapInArrow(common.tidy(_search_chunks(folder)), kinds)
+    return found.unionByName(common.written(met, "jaccard-links"))
 
 
 def join(docs: DataFrame) -> DataFrame:

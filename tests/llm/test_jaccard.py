@@ -60,6 +60,32 @@ def test_components_match_brute_force(spark, make_docs, monkeypatch, seed, small
     assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ties_match_brute_force(spark, make_docs, monkeypatch, seed):
+    for name, value in {"GROUP": 6, "GROUP_SHINGLES": 600, "COPIES": 1_000}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(seed)
+    assert sorted(tuple(r) for r in jaccard.join(make_docs(rows)).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_copies_of_sets_do_not_grow_with_a_component(spark, make_docs, monkeypatch, near):
+    # one component, of near copies or of sets that share a few rare shingles with each of their neighbours
+    monkeypatch.setattr(jaccard, "GROUP", 6)
+    text = lambda i: " ".join("z%d" % i if near and k == 70 else "w%d" % (k if near else 12 * i + k) for k in range(140))
+    rows = [(i, text(i)) for i in range(120)]
+    tasks, plain = [], common.map_tables
+
+    def counted(df, make, *rest):
+        if make is jaccard._sets:
+            tasks.extend(len(r[0]) for r in df.select("groups").collect())
+        return plain(df, make, *rest)
+
+    monkeypatch.setattr(common, "map_tables", counted)
+    assert sorted(tuple(r) for r in jaccard.join(make_docs(rows)).collect()) == brute(rows)
+    assert len(tasks) == 120 and sum(tasks) <= 4 * 120
+
+
 def some_sets(rng):
     base = [rng.randrange(1 << 40) for _ in range(rng.choice([1, 5, 20, 100]))]
     out = []
