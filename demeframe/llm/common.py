@@ -80,11 +80,24 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
 
 
+#: Shuffle files are removed when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
+    """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors.
+
+    What was shuffled for it goes with the write.  Else it stays until the driver's JVM collects its garbage, which
+    follows the driver's memory and not the disks, and the shuffles of a whole operator may lie there at once.
+    """
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -1,11 +1,13 @@
 import hashlib
+import os
 import random
+import time
 
 import public_tokenizers
 import pytest
 
 import corpus_pipeline as pipeline
-from demeframe.llm import bpe, ppm
+from demeframe.llm import bpe, common, ppm
 
 from .test_decontaminate import brute as contaminated
 from .test_jaccard import brute as components
@@ -66,3 +68,34 @@ def test_stages_keep_the_columns_of_documents(spark, tables):
         out = stage(spark, docs, tables[0])
         assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.select(*pipeline.COLUMNS).schema]
         assert stage(spark, docs.limit(0), tables[0]).count() == 0
+
+
+def shuffled(spark):
+    """Bytes of each shuffle file that is there now."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getPath() for i in range(files.size())]
+    return {f: os.path.getsize(f) for f in names if os.path.basename(f).startswith("shuffle_") and os.path.exists(f)}
+
+
+def test_near_duplicates_leaves_no_shuffles_behind(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("%x" % rng.randrange(1 << 40) for _ in range(300)) for _ in range(200)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts + [t + " end" for t in texts[:50]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before, setting, left, plain = set(shuffled(spark)), spark.conf.get(common.CLEANUP, None), [], common.written
+
+    def looked(df, name):
+        out = plain(df, name)
+        for _ in range(20):
+            now = sum(n for f, n in shuffled(spark).items() if f not in before)
+            if now < 50_000:  # single rows that went to the driver
+                break
+            time.sleep(0.1)
+        left.append(now)
+        assert spark.conf.get(common.CLEANUP, None) == setting
+        return out
+
+    monkeypatch.setattr(common, "written", looked)
+    out = pipeline.near_duplicates(spark, docs, "")
+    assert len(left) > 4 and max(left) < 50_000
+    assert out.count() == 200
